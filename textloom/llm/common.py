@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,8 +81,8 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches of a bounded number of rows and bytes, so a worker's memory does not follow the texts."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = re.sub(r"\D", "", str(df.sparkSession.conf.get(key, "0"))) or "0"
-        if not 0 < int(now) <= most:
+        now = df.sparkSession.conf.get(key).rstrip("b")
+        if not (now.isdigit() and int(now) <= most):
             df.sparkSession.conf.set(key, str(most))
     return df.mapInArrow(function, schema)
 
