@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -17,17 +18,19 @@ from . import wavelet
 from .common import documents_view, map_arrow, shared_dir
 
 #: Tokens after which a file is closed (a longer document still stays whole), and entries of a worker's word cache.
-FILE_TOKENS, CACHE = 2_000_000, 500_000
-_TAILS = ".,!?;:"
+FILE_TOKENS, CACHE = 2_000_000, 1_200_000
+#: A comma or full stop, before a blank, that does not follow a letter or digit.
+_MARKS = re.compile(r"[^a-zà-öø-ÿß0-9](?:, |\.[ \n])")
 #: Blank for str.split but not for the tokenizers' regular expressions.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class Encoder:
-    """Encodes texts chunk by chunk between blanks, each distinct chunk once as long as it is cached.
+    """Encodes texts piece by piece between blanks, each distinct piece once as long as it is cached.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are its chunks' ids in order; a letter run
-    and the single punctuation mark after it are separate words to it as well."""
+    The tokenizer lower-cases, drops white space and never merges across it, so a text's ids are its pieces' ids in order.
+    In texts of Latin-1 characters, a comma or full stop after a letter is a piece of its own to the tokenizer as well, which
+    leaves far fewer distinct pieces; where it follows another mark instead, the text is cut at blanks only."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,55 +38,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.by_chunk = '"Removed"' in self.tokenizer.to_str() and '\\\\s' in self.tokenizer.to_str()
+        rules = self.tokenizer.to_str()
+        self.by_piece = all(x in rules for x in ('"Removed"', "\\\\s", '"Lowercase"', '"NFC"'))
         self.cache: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _letters(self, words: list[str]) -> None:
-        """Cache words of letters only, encoded together: each is one word to the tokenizer."""
-        if not words:
-            return
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, of = np.array(found.ids, self.kind), np.array([-1 if x is None else x for x in found.word_ids])
-        cuts = (np.flatnonzero(np.diff(of)) + 1).tolist()
-        if len(cuts) + 1 != len(words) or (of < 0).any():
-            for w in words:
-                self.cache[w] = self._plain(w)
-            return
-        size, raw = ids.itemsize, ids.tobytes()
-        for w, a, b in zip(words, [0, *cuts], [*cuts, len(ids)], strict=True):
-            self.cache[w] = raw[a * size : b * size]
-
-    def text(self, text: str) -> bytes:
-        if not self.by_chunk or any(c in text for c in _ODD):
-            return self._plain(text)
-        chunks = text.split()
-        out = list(map(self.cache.get, chunks))
-        if None in out:
-            if len(self.cache) > CACHE:
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces of letters only are encoded together: each is one word to the tokenizer."""
+        words = [p for p in pieces if p.isalpha()]
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, of = np.array(found.ids, self.kind), np.array([-1 if x is None else x for x in found.word_ids])
+            cuts = (np.flatnonzero(np.diff(of)) + 1).tolist()
+            if len(cuts) + 1 == len(some) and (of >= 0).all():
+                size, raw = ids.itemsize, ids.tobytes()
+                for p, a, b in zip(some, [0, *cuts], [*cuts, len(ids)], strict=True):
+                    self.cache[p] = raw[a * size : b * size]
+        for p in pieces:
+            if p not in self.cache:
+                self.cache[p] = self._plain(p)
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if not self.by_piece or any(c in text for c in _ODD):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        low = text.lower()
+        out = low.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").split()
+        return low.split() if _MARKS.search(low) else out
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        cut = [self._pieces(x) for x in texts]
+        missing = set().union(*(x for x in cut if x is not None)).difference(self.cache)
+        if missing:
+            if len(self.cache) + len(missing) > CACHE:
                 self.cache.clear()
-                out = [None] * len(chunks)
-            missing = {c for c, x in zip(chunks, out, strict=True) if x is None}
-            split = {c: self._split(c) for c in missing}
-            self._letters(sorted({base for base, _ in split.values() if base and base not in self.cache}))
-            for c, (base, tail) in split.items():
-                if base is None:
-                    self.cache[c] = self._plain(c)
-                else:
-                    if tail and tail not in self.cache:
-                        self.cache[tail] = self._plain(tail)
-                    self.cache[c] = self.cache[base] + (self.cache[tail] if tail else b"")
-            out = list(map(self.cache.__getitem__, chunks))
-        return b"".join(out)
-
-    @staticmethod
-    def _split(chunk: str) -> tuple[str | None, str]:
-        base, tail = (chunk[:-1], chunk[-1]) if chunk[-1] in _TAILS else (chunk, "")
-        if not base.isalpha():
-            return None, ""
-        return base.lower() if base.isascii() else base, tail
+                missing = set().union(*(x for x in cut if x is not None))
+            self._learn(sorted(missing))
+        get = self.cache.__getitem__
+        return [self._plain(x) if pieces is None else b"".join(map(get, pieces)) for x, pieces in zip(texts, cut, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -107,8 +105,9 @@ def _files(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[p
         return pa.record_batch([pa.array([partition], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([content], pa.binary())], names=["shard", "segment", "n_tokens", "content"])
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = encoder.text(text.as_py() or "") + last
+        encoded = encoder.texts([x or "" for x in batch.column(1).to_pylist()])
+        for doc_id, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
+            raw += last
             ids.append(doc_id)
             parts.append(raw)
             size += len(raw) // np.dtype(encoder.kind).itemsize
