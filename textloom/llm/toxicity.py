@@ -18,7 +18,7 @@ from .common import map_arrow
 #: Bounds of the labelled sample: documents of each label, and characters of a document in it.
 TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 2000, 4000, 20_000
 #: Landmarks picked for telling labels apart, and ordinary words beside them.
-LANDMARKS, BACKGROUND = 64, 8
+LANDMARKS, BACKGROUND = 96, 8
 #: Kernel: length of subsequences, and the factor for each character that one spans.
 ORDER, DECAY = 3, 0.7
 #: Characters of a unit that the kernel looks at (a longer unit is looked at in overlapping pieces), and cached units.
@@ -97,14 +97,20 @@ def tokens_of(text: str) -> list[str]:
 
 @dataclass
 class Model:
+    """Landmarks and a linear machine over their kernel values; ``curve`` turns a text's evidence into a score."""
+
     landmarks: list[str] = field(default_factory=list)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
-    slope: float = 0.0
-    offset: float = -4.0
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0, 0.0, 0.0, 0.0, 0.0, -4.0]))
+
+    def evidence(self, found: np.ndarray, n_tokens: int) -> np.ndarray:
+        """Of the margins of a text's tokens: the three largest, how many are positive, and the text's length."""
+        margins = np.sort(np.concatenate([found @ self.weights + self.bias if len(found) else np.zeros(0), np.full(3, self.bias)]))[::-1]
+        return np.array([*np.clip(margins[:3], -2, 2), np.log1p((margins > 0).sum()), np.log1p(n_tokens) / 10, 1.0])
 
-    def score(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins + self.offset, -40, 40)))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(evidence @ self.curve, -40, 40)))
 
 
 class Scorer:
@@ -159,32 +165,37 @@ class Scorer:
     def _pooled(self, found: set[int]) -> np.ndarray:
         return np.max([self.rows[i] for i in found], axis=0)
 
-    def bags(self, texts: list[str]) -> list[list[np.ndarray]]:
-        """For each text, the features of its sentences that have any: the largest kernel value for each landmark."""
+    def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each text: kernel values of the tokens that have any, the sentence of each, and the number of tokens."""
         tokens = [tokens_of(x) for x in texts]
         self.learn(set().union(*tokens))
         cache, out = self.cache, []
+        blank = np.zeros((0, len(self.landmarks)))
         for mine in tokens:
             at = [cache[t] for t in mine]
-            bag, sentence = [], set()
-            if max(at, default=-1) >= 0:
-                for t, i in zip(mine, at, strict=True):
-                    if i >= 0:
-                        sentence.add(i)
-                    if sentence and t[-1] in _ENDS:
-                        bag.append(self._pooled(sentence))
-                        sentence = set()
-                if sentence:
-                    bag.append(self._pooled(sentence))
-            out.append(bag)
+            if max(at, default=-1) < 0:
+                out.append((blank, np.zeros(0, np.int64), len(mine)))
+                continue
+            rows, of, sentence = [], [], 0
+            for t, i in zip(mine, at, strict=True):
+                if i >= 0:
+                    rows.append(self.rows[i])
+                    of.append(sentence)
+                sentence += t[-1] in _ENDS
+            out.append((np.array(rows), np.array(of), len(mine)))
         return out
 
 
+def _sentences(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """A sentence's value for a landmark is the largest of its tokens'."""
+    return np.array([rows[of == x].max(0) for x in np.unique(of)])
+
+
 def _pick(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Word beginnings that cover toxic documents and hardly any clean one, greedily, each document up to three times."""
+    """Word beginnings that cover toxic documents and hardly any clean one, greedily, each document up to five times."""
 
     def begins(units: set[str]) -> set[str]:
-        return {u[:k] for u in units for k in range(5, 10) if len(u) >= k}
+        return {u[:k] for u in units for k in range(5, 11) if len(u) >= k}
 
     inside, outside = Counter(), Counter()
     grams = [begins(u) for u in toxic]
@@ -200,10 +211,10 @@ def _pick(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     for i, g in enumerate(lists):
         for x in g:
             where.setdefault(x, []).append(i)
-    need, out = [3] * len(toxic), []
+    need, out = [5] * len(toxic), []
     while where and len(out) < LANDMARKS:
         best = max(where, key=lambda g: (sum(need[i] for i in where[g]) - 5 * rate * outside[g], len(g), g))
-        if sum(need[i] for i in where[best]) < 3:
+        if sum(need[i] for i in where[best]) < max(2, len(toxic) / 200):
             break
         for i in where.pop(best):
             need[i] = max(0, need[i] - 1)
@@ -239,14 +250,14 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     ordinary = [u for u, _ in sorted(Counter(u[:9] for s in clean for u in s if len(u) >= 6).items(), key=lambda x: (-x[1], x[0]))[:BACKGROUND]]
     landmarks = list(dict.fromkeys(picked + ordinary))
     scorer = Scorer(landmarks)
-    features = scorer.bags(texts)
+    read = scorer.read(texts)
     # Nyström: features times the inverse root of the landmarks' own kernel matrix
     k = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     put_in = _put_in(landmarks)
     blank = np.zeros(len(landmarks))
-    bags = [np.array(f) if f else blank[None] for f in features]
+    bags = [_sentences(rows, of) if len(rows) else blank[None] for rows, of, _ in read]
     w = np.r_[np.array([1.0 if z in set(picked) else 0.0 for z in landmarks]) @ np.linalg.inv(root), 0.0]
     for _ in range(4):
         rows, y = [], []
@@ -262,10 +273,9 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         x, sign = np.array(rows) @ root, np.array(y, float)
         cost = np.where(sign > 0, 1 / max(1, (sign > 0).sum()), 1 / max(1, (sign < 0).sum())) * 100
         w = _svm(x, sign, cost)
-    weights = root @ w[:-1]
-    margins = np.array([(bag @ weights).max() + w[-1] for bag in bags])
-    slope, offset = _platt(margins, np.array(labels))
-    return Model(landmarks, weights, float(w[-1]), slope, offset)
+    model = Model(landmarks, root @ w[:-1], float(w[-1]))
+    model.curve = _logistic(np.array([model.evidence(rows, n) for rows, _, n in read]), np.array(labels))
+    return model
 
 
 def _put_in(landmarks: list[str]) -> np.ndarray:
@@ -273,21 +283,19 @@ def _put_in(landmarks: list[str]) -> np.ndarray:
     return np.array([kernel([z[: len(z) // 2 + 1] + "¤" + z[len(z) // 2 + 1 :]], [z])[0, 0] for z in landmarks])
 
 
-def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over the margins, with Platt's smoothed targets."""
+def _logistic(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Ridge logistic weights by Newton steps, towards Platt's smoothed targets; the last column is constant."""
     n1, n0 = labels.sum(), (1 - labels).sum()
     target = np.where(labels == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x, w = np.c_[margins, np.ones(len(margins))], np.array([1.0, 0.0])
-    for _ in range(100):
+    ridge = np.diag([0.1] * (x.shape[1] - 1) + [1e-6])
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, x.T @ (target - p) - 1e-6 * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (target - p) - ridge @ w)
         w = w + step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-7:
             break
-    if w[0] <= 0:
-        return 1.0, 0.0
-    return float(w[0]), float(w[1])
+    return w
 
 
 _scorers: dict[tuple[str, ...], Scorer] = {}
@@ -297,9 +305,8 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
     scorer = _scorers.setdefault(tuple(model.landmarks), Scorer(model.landmarks))
     for batch in batches:
         texts = [x or "" for x in batch.column(2).to_pylist()]
-        bags = scorer.bags(texts) if model.landmarks else [[]] * len(texts)
-        margins = [max([model.bias, *(x @ model.weights + model.bias for x in bag)]) for bag in bags]
-        score = model.score(np.array(margins))
+        read = scorer.read(texts) if model.landmarks else [(np.zeros((0, 0)), None, 0)] * len(texts)
+        score = model.score(np.array([model.evidence(rows, n) for rows, _, n in read]).reshape(-1, len(model.curve)))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
 
@@ -329,7 +336,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     (doc_id, toxic) by ``train``.
 
     Texts are lower-cased and split at blanks; a token counts by its letters, so characters put between them do not matter,
-    and letters spelled with blanks between them are one token more.  A text's margin is the largest of its sentences'.
+    and letters spelled with blanks between them are one token more.  The machine is trained on sentences; a text's score follows from
+    the margins of its most telling tokens, their number and its length.
     A null or empty text scores as one without telling words.  If the labels hold no or only one class, all scores are
     equal and below 0.5.  Rows without doc_id are scored and count as held out."""
     model = train(docs, labels)
