@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -15,73 +14,162 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import wavelet
-from .common import documents_view, map_arrow, shared_dir
-
-#: Tokens after which a file is closed (a longer document still stays whole), and entries of a worker's word cache.
-FILE_TOKENS, CACHE = 2_000_000, 1_200_000
-#: A comma or full stop, before a blank, that does not follow a letter or digit.
-_MARKS = re.compile(r"[^a-zà-öø-ÿß0-9](?:, |\.[ \n])")
-#: Blank for str.split but not for the tokenizers' regular expressions.
-_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+from . import wordhash as wh
+from .common import documents_view, map_arrow, shared_dir, text_steps
+
+#: Tokens after which a file is closed (a document stays whole), pieces a worker keeps, and bits of a table of slots.
+FILE_TOKENS, CACHE, SLOTS = 2_000_000, 1_500_000, 21
+
+
+def _classes() -> np.ndarray:
+    """0 blanks, 1 letters and all bytes beyond ASCII, 2 digits, 3 the rest of ASCII."""
+    out = np.full(256, 3, np.uint8)
+    out[[32, 9, 10, 11, 12, 13]] = 0
+    out[65:91] = out[97:123] = out[128:] = 1
+    out[48:58] = 2
+    return out
+
+
+_CLASS = _classes()
+#: Bytes that leave a run between blanks uncut: the apostrophe (contractions) and leads of characters that may not be letters.
+_UNCUT = np.zeros(256, bool)
+_UNCUT[39] = True
+_UNCUT[192:] = True
+_UNCUT[195] = False
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of pieces that the tokenizer never merges across, and each document's first piece (one entry more).
+
+    Runs of letters, single digits and runs of marks; a run between blanks that holds an apostrophe or a character outside
+    ASCII and the Latin-1 letters is one piece, and the tokenizer cuts it itself."""
+    kind = _CLASS[data]
+    cuts = offsets[offsets < len(data)]
+    odd = _UNCUT[data]
+    if len(data) > 1:
+        odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # "<|" may begin a special token
+        # the signs for times and division are in the midst of the Latin-1 letters
+        odd[:-1] |= (data[:-1] == 195) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    before = np.empty_like(kind)
+    before[:1] = 0
+    before[1:] = kind[:-1]
+    before[cuts] = 0
+    begins = (kind != 0) & (before == 0)
+    starts = np.flatnonzero((kind != 0) & ((kind != before) | (kind == 2)))
+    if odd.any():
+        run = np.cumsum(begins)  # number of the run between blanks
+        uncut = np.zeros(int(run[-1]) + 1, bool)
+        uncut[run[odd]] = True
+        starts = starts[begins[starts] | ~uncut[run[starts]]]
+    # a piece ends where the next one starts, or at a blank or the end of the document before that
+    stops = np.flatnonzero(np.concatenate([(kind[1:] == 0) & (kind[:-1] != 0), [True]]) | np.isin(np.arange(1, len(kind) + 1), cuts) & (kind != 0)) + 1
+    ends = np.minimum(np.append(starts[1:], len(data)), stops[np.searchsorted(stops, starts, side="right")]) if len(starts) else starts
+    return starts, ends, np.searchsorted(starts, offsets)
 
 
 class Encoder:
-    """Encodes texts piece by piece between blanks, each distinct piece once as long as it is cached.
+    """Encodes steps of text piece by piece, each distinct piece once as long as its ids are kept.
 
-    The tokenizer lower-cases, drops white space and never merges across it, so a text's ids are its pieces' ids in order.
-    In texts of Latin-1 characters, a comma or full stop after a letter is a piece of its own to the tokenizer as well, which
-    leaves far fewer distinct pieces; where it follows another mark instead, the text is cut at blanks only."""
+    The tokenizers meant here lower-case, drop white space and never merge across it or between letters, digits and marks, so
+    a text's ids are its pieces' ids in order.  Pieces are found by their 64-bit hash in two tables of slots and, where both
+    slots are taken, in a sorted rest; no Python object is made for a piece that is known."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         rules = self.tokenizer.to_str()
-        self.by_piece = all(x in rules for x in ('"Removed"', "\\\\s", '"Lowercase"', '"NFC"'))
-        self.cache: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Pieces of letters only are encoded together: each is one word to the tokenizer."""
-        words = [p for p in pieces if p.isalpha()]
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        self.by_piece = all(x in rules for x in ('"Removed"', "|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+", '"Lowercase"', '"NFC"'))
+        self.by_piece &= all(t.content.startswith("<|") for t in self.tokenizer.get_added_tokens_decoder().values())
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(1, np.int64)  # where each piece's ids start
+        self.ids = np.zeros(0, self.kind)
+        self.slots = [np.full(1 << SLOTS, -1, np.int32) for _ in range(2)]
+        self.rest_keys, self.rest = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    @staticmethod
+    def _slot(keys: np.ndarray, table: int) -> np.ndarray:
+        return (keys >> np.uint64(64 - SLOTS) if table == 0 else keys & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each key's entry, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        found = self.slots[0][self._slot(keys, 0)]
+        wrong = np.flatnonzero((found < 0) | (self.keys[found] != keys))
+        second = self.slots[1][self._slot(keys[wrong], 1)]
+        second[(second < 0) | (self.keys[second] != keys[wrong])] = -1
+        found[wrong] = second
+        if len(self.rest) and (lost := wrong[second < 0]).size:
+            at = np.minimum(np.searchsorted(self.rest_keys, keys[lost]), len(self.rest) - 1)
+            found[lost] = np.where(self.rest_keys[at] == keys[lost], self.rest[at], -1)
+        return found
+
+    def _add(self, keys: np.ndarray, strings: list[str]) -> None:
+        """Enter distinct new keys with the ids of their strings."""
+        encoded = self._encode(strings)
+        first = len(self.keys)
+        self.keys = np.concatenate([self.keys, keys])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in encoded])])
+        self.ids = np.concatenate([self.ids, *encoded])
+        left = np.arange(first, len(self.keys), dtype=np.int32)
+        for table, slots in enumerate(self.slots):
+            slot = self._slot(self.keys[left], table)
+            free = slots[slot] < 0
+            slots[slot[free]] = left[free]  # of several for one slot, the last stays
+            left = left[slots[slot] != left]
+        if len(left):
+            rest = np.concatenate([self.rest, left])
+            order = np.argsort(self.keys[rest])
+            self.rest, self.rest_keys = rest[order], self.keys[rest][order]
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _encode(self, strings: list[str]) -> list[np.ndarray]:
+        """Strings of letters only are encoded many at a time: each is one word to the tokenizer."""
+        out: list[np.ndarray | None] = [None] * len(strings)
+        words = [i for i, x in enumerate(strings) if x.isalpha()]
+        for a in range(0, len(words), 1000):
+            some = words[a : a + 1000]
+            found = self.tokenizer.encode(" ".join(strings[i] for i in some), add_special_tokens=False)
             ids, of = np.array(found.ids, self.kind), np.array([-1 if x is None else x for x in found.word_ids])
-            cuts = (np.flatnonzero(np.diff(of)) + 1).tolist()
+            cuts = np.flatnonzero(np.diff(of)) + 1
             if len(cuts) + 1 == len(some) and (of >= 0).all():
-                size, raw = ids.itemsize, ids.tobytes()
-                for p, a, b in zip(some, [0, *cuts], [*cuts, len(ids)], strict=True):
-                    self.cache[p] = raw[a * size : b * size]
-        for p in pieces:
-            if p not in self.cache:
-                self.cache[p] = self._plain(p)
-
-    def _pieces(self, text: str) -> list[str] | None:
-        if not self.by_piece or any(c in text for c in _ODD):
-            return None
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split()
-        low = text.lower()
-        out = low.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").split()
-        return low.split() if _MARKS.search(low) else out
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pieces(x) for x in texts]
-        missing = set().union(*(x for x in cut if x is not None)).difference(self.cache)
-        if missing:
-            if len(self.cache) + len(missing) > CACHE:
-                self.cache.clear()
-                missing = set().union(*(x for x in cut if x is not None))
-            self._learn(sorted(missing))
-        get = self.cache.__getitem__
-        return [self._plain(x) if pieces is None else b"".join(map(get, pieces)) for x, pieces in zip(texts, cut, strict=True)]
+                for i, x in zip(some, np.split(ids, cuts), strict=True):
+                    out[i] = x
+        return [self._plain(strings[i]) if x is None else x for i, x in enumerate(out)]
+
+    def step(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents of a step, and the number of each."""
+        raw = data.tobytes()
+        if not self.by_piece:
+            each = [self._plain(raw[a:b].decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.concatenate([np.zeros(0, self.kind), *each]), np.array([len(x) for x in each], np.int64)
+        if not len(data):
+            return np.zeros(0, self.kind), np.zeros(len(offsets) - 1, np.int64)
+        starts, ends, first = pieces(data, offsets)
+        keys = wh.hash_spans(data, starts, ends, lower=True)
+        entry = self._find(keys)
+        if (new := np.flatnonzero(entry < 0)).size:
+            fresh, where = np.unique(keys[new], return_index=True)
+            if len(self.keys) + len(fresh) > CACHE:
+                self._forget()
+                fresh, where = np.unique(keys, return_index=True)
+                new = np.arange(len(keys))
+            self._add(fresh, [raw[starts[i] : ends[i]].decode() for i in new[where]])
+            entry[new] = self._find(keys[new])
+        sizes = self.at[entry + 1] - self.at[entry]
+        ends_of = np.cumsum(sizes)
+        total = int(ends_of[-1]) if len(sizes) else 0
+        ids = self.ids[np.arange(total) + np.repeat(self.at[entry] - ends_of + sizes, sizes)]
+        bounds = np.concatenate([np.zeros(1, np.int64), ends_of])[first]
+        return ids, np.diff(bounds)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -95,25 +183,23 @@ def _encoder(path: str) -> Encoder:
 
 def _files(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(path)
-    last = np.array([end], encoder.kind).tobytes()
-    partition, segment, ids, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
+    partition, segment, ids, counts, parts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
     def row() -> pa.RecordBatch:
-        width = np.dtype(encoder.kind).itemsize
-        tokens = np.frombuffer(b"".join(parts), encoder.kind)
-        content = wavelet.encode(tokens, np.array([len(p) // width for p in parts], np.int64), ids)
+        tokens = np.concatenate(parts)
+        content = wavelet.encode(tokens, np.concatenate(counts), ids)
         return pa.record_batch([pa.array([partition], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([content], pa.binary())], names=["shard", "segment", "n_tokens", "content"])
 
-    for batch in batches:
-        encoded = encoder.texts([x or "" for x in batch.column(1).to_pylist()])
-        for doc_id, raw in zip(batch.column(0).to_pylist(), encoded, strict=True):
-            raw += last
-            ids.append(doc_id)
-            parts.append(raw)
-            size += len(raw) // np.dtype(encoder.kind).itemsize
-            if size >= FILE_TOKENS:
-                yield row()
-                segment, ids, parts, size = segment + 1, [], [], 0
+    for batch, data, offsets in text_steps(batches):
+        found, n = encoder.step(data, offsets)
+        tokens = np.insert(found, np.cumsum(n), np.array(end, encoder.kind))
+        ids += batch.column(0).to_pylist()
+        counts.append(n + 1)
+        parts.append(tokens)
+        size += len(tokens)
+        if size >= FILE_TOKENS:
+            yield row()
+            segment, ids, counts, parts, size = segment + 1, [], [], [], 0
     if ids:
         yield row()
 

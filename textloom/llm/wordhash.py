@@ -42,6 +42,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    up, down = _power(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_LOWER if lower else _BYTES)[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 class Words:
     """Words of a run of documents: byte ``starts`` and ``ends``, ``hashes``, and ``first``, the index of each document's
     first word (with one entry more at the end)."""
@@ -60,10 +67,7 @@ class Words:
         after[cuts[cuts > 0] - 1] = False
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.starts, offsets)
-        up, down = _power(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER if lower else _BYTES)[data] * up[: len(data)], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        self.hashes = hash_spans(data, self.starts, self.ends, lower)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
