@@ -60,3 +60,17 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20).drop("kept_text")
