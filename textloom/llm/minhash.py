@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import documents_view, map_arrow, text_steps, written
-from .links import link_buckets
+from .common import documents_view, map_arrow, release, text_steps, written
+from .graph import components
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -95,24 +95,124 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([batch.column(0), pa.array(blobs, pa.binary())], names=["id", "elements"])
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by leader and part, the leader's own set first: only that one set is held."""
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by leader and part, the leader's own set first: only that one set is held.
+
+    For each other set: the size of the common part, whether it is enough, and the elements that the leader lacks."""
     leader, held = None, np.zeros(0, np.uint64)
     for batch in batches:
         a, part, b, blobs = (batch.column(i) for i in range(4))
-        out: tuple[list[int], list[int]] = ([], [])
+        out: list[list] = [[], [], [], [], [], []]
         for x, p, y, blob in zip(a.to_pylist(), part.to_pylist(), b.to_pylist(), blobs, strict=True):
             own = np.frombuffer(blob.as_buffer(), np.uint64)
             if y is None:
                 leader, held = (x, p), own
-            elif leader == (x, p) and len(held) and len(own):
+            elif leader == (x, p):
                 at = np.searchsorted(held, own)
                 at[at == len(held)] = 0
-                common = int((held[at] == own).sum())
-                if 100 * common >= percent * (len(held) + len(own) - common):
-                    out[0].append(x)
-                    out[1].append(y)
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], names=["a", "b"])
+                there = held[at] == own
+                common = int(there.sum())
+                linked = 100 * common >= percent * (len(held) + len(own) - common)
+                for column, v in zip(out, (x, y, len(held), common, linked, own[~there].view(np.int64)), strict=True):
+                    column.append(v)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()))
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["a", "b", "n_a", "common", "linked", "added"])
+
+
+class _Linker:
+    """Finds all links among candidates that can matter to the components, without listing the pairs of a bucket.
+
+    In each bucket all members are compared with a leader (the member with the most company).  Let two members x and y share
+    no element that the leader lacks.  Then what they have in common lies in the leader, so |x & y| <= min(|x & leader|,
+    |y & leader|).  Hence a further link between members of different components needs a common element outside the
+    leader, or sizes that this bound allows.  The former are the buckets of the next level, one for each leader and outside
+    element; the latter pairs are compared one by one, and so are those left after the last level."""
+
+    LEVELS = 4
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, shingle: int, percent: int):
+        self.docs, self.shingle, self.percent = docs, shingle, percent
+        self.facts = classes.where("rep is not null").select("rep", "n", "bands")
+        self.links: DataFrame | None = None
+        self.comp: DataFrame | None = None
+        self.sets: DataFrame | None = None
+
+    def run(self, keys: DataFrame) -> DataFrame | None:
+        for level in range(self.LEVELS):
+            members = self._mixed(keys)
+            if members is None:
+                return self.comp
+            if self.sets is None:
+                ids = members.select(F.col("id").alias("doc_id")).distinct()
+                self.sets = written(map_arrow(self.docs.join(ids, "doc_id", "left_semi"), partial(_sets, k=self.shingle), "id long, elements binary"), "sets")
+            company = written(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
+            rank = F.struct(F.col("company"), (-F.col("id")).alias("order"))
+            leaders = written(members.join(company, "id").groupBy("key").agg(F.max(rank).alias("m")).select("key", (-F.col("m.order")).alias("a")), "leaders")
+            pairs = members.join(leaders, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+            compared = written(self._compared(pairs), f"compared{level}")
+            self._link(compared.where("linked"))
+            mixed = self._labelled(compared.select("a", "b", "n_a", "common", "linked", "added"), "b")
+            groups = written(mixed.groupBy("a").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("a"), "groups")
+            if groups.isEmpty():
+                return self.comp
+            rest = written(mixed.join(groups, "a", "left_semi"), "rest")
+            self._check(self._bounded(rest))
+            keys = rest.select(F.col("b").alias("id"), F.explode("added").alias("e"), "a").select(F.xxhash64("a", "e").alias("key"), "id")
+        members = self._mixed(keys)
+        if members is not None:
+            one, two = members.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), members.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
+            self._check(one.join(two, "key").where("a < b and ca <> cb").select("a", "b"))
+        return self.comp
+
+    def _labelled(self, df: DataFrame, column: str) -> DataFrame:
+        if self.comp is None:
+            return df.withColumn("comp", F.col(column))
+        return df.join(self.comp.toDF(column, "component"), column, "left").withColumn("comp", F.coalesce("component", column)).drop("component")
+
+    def _mixed(self, keys: DataFrame) -> DataFrame | None:
+        """Members (key, id, comp, n) of buckets that hold more than one component."""
+        keys = written(self._labelled(keys, "id"), "keys")
+        buckets = written(keys.groupBy("key").agg(F.count("id").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "n"), "buckets")
+        members = written(keys.join(buckets, "key"), "members")
+        release(keys, buckets)
+        return None if members.isEmpty() else members
+
+    def _compared(self, pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "pairs")
+        sets = self.sets
+        parts = written(pairs.groupBy("a").agg(F.ceil(F.count("b") / 64).cast("int").alias("parts")), "parts")
+        heads = parts.join(sets.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "elements")
+        cut = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+        tails = cut.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "elements")
+        both = heads.union(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+        return map_arrow(both, partial(_compare, percent=self.percent), "a long, b long, n_a long, common long, linked boolean, added array<long>")
+
+    def _link(self, linked: DataFrame) -> None:
+        linked = linked.select("a", "b")
+        self.links = linked if self.links is None else self.links.union(linked)
+        if not linked.isEmpty():
+            self.comp = written(components(self.links), "components")
+
+    def _check(self, pairs: DataFrame) -> None:
+        """Compare pairs that sizes and a glance at the bands do not rule out."""
+        one, two = self.facts.toDF("a", "na", "ba"), self.facts.toDF("b", "nb", "bb")
+        agree = F.aggregate(F.zip_with("ba", "bb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        near = pairs.distinct().join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).where(agree >= 3).select("a", "b")
+        self._link(written(self._compared(near).where("linked").select("a", "b"), "links"))
+
+    def _bounded(self, rest: DataFrame) -> DataFrame:
+        """Pairs of a leader's members that may link though all they share lies in the leader: min(common) is large enough
+        for both sizes.  One of them is not linked with the leader, so the other is smaller than the leader.  They are
+        joined on the leader and on classes of size."""
+        share = self.percent / 100
+        sized = rest.withColumn("n", F.col("common") + F.size("added")).drop("added")
+        size_class = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / F.log(F.lit(1.05))).cast("int")
+        x = sized.where("not linked").withColumn("most", F.col("common") * (1 + share) / share - F.col("n")).where(F.col("most") >= F.col("n") * share)
+        x = x.select("a", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("common").alias("cx"), F.col("comp").alias("compx"), F.explode(F.sequence(size_class(F.col("n") * share), size_class(F.col("most")))).alias("class"))
+        y = sized.where("n < n_a").select("a", F.col("b").alias("y"), F.col("n").alias("ny"), F.col("common").alias("cy"), F.col("comp").alias("compy"), size_class(F.col("n").cast("double")).alias("class"))
+        fits = F.least("cx", "cy") * (100 + self.percent) >= (F.col("nx") + F.col("ny")) * self.percent
+        both = x.join(y, ["a", "class"]).where(fits & (F.col("compx") != F.col("compy")))
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, t: int = 160, rows: int = 5) -> DataFrame:
@@ -120,8 +220,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, t: int
 
     Words are runs of non-blanks, A-Z lower-cased.  Documents are linked at a Jaccard similarity of shingle sets of at
     least ``percent`` / 100, confirmed on the full sets (64-bit shingle hashes).  A pair at exactly 0.85 shares none of the
-    160 / 5 = 32 bands with probability 0.556**32 < 1e-8; pairs that agree in fewer than 3 bands are not confirmed, which
-    at 0.85 has probability < 3e-6 and at the default 0.8 < 1e-3.
+    160 / 5 = 32 bands with probability 0.556**32 < 1e-8.  Pairs that are not compared through a leader (see ``_Linker``) are
+    passed over if they agree in fewer than 3 bands, which at 0.85 has probability < 3e-6 and at 0.8 < 4e-4.
 
     Equal sets are one class from the start, so copies cost one row each.  A null or empty text has no shingles and links
     with nothing.  Rows of one doc_id are one document.  A row without doc_id takes the smallest id of its class, if any,
@@ -132,23 +232,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, t: int
     classes = written(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     named = classes.where("rep is not null")
     keys = named.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    facts = named.select("rep", "n", "bands")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one, two = facts.toDF("a", "na", "ba"), facts.toDF("b", "nb", "bb")
-        agree = F.aggregate(F.zip_with("ba", "bb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where(agree >= 3)
-        near = written(near.select("a", "b"), "candidates")
-        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        sets = written(map_arrow(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), partial(_sets, k=shingle), "id long, elements binary"), "sets")
-        parts = written(near.groupBy("a").agg(F.ceil(F.count("b") / 64).cast("int").alias("parts")), "parts")
-        heads = parts.join(sets.withColumnRenamed("id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "elements")
-        cut = near.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-        tails = cut.join(sets.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "elements")
-        both = heads.union(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        return map_arrow(both, partial(_confirm, percent=percent), "a long, b long")
-
-    comp = link_buckets(keys, verify)
+    comp = _Linker(docs, classes, shingle, percent).run(keys)
     if comp is not None:
         named_comp = classes.join(comp.toDF("rep", "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     else:
