@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 #: Bounds of the labelled sample: documents of each label, and characters of a document in it.
-TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 2000, 4000, 20_000
+TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1000, 2000, 20_000
 #: Landmarks picked for telling labels apart, and ordinary words beside them.
 LANDMARKS, BACKGROUND = 96, 8
 #: Kernel: length of subsequences, and the factor for each character that one spans.
@@ -191,22 +191,22 @@ def _sentences(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.array([rows[of == x].max(0) for x in np.unique(of)])
 
 
-def _pick(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Word beginnings that cover toxic documents and hardly any clean one, greedily, each document up to five times."""
+def _begins(text: str) -> set[str]:
+    """Beginnings of a text's units, of 4 to 9 letters."""
+    return {u[:k] for t in set(tokens_of(text)) for u in (_units(t),) for k in range(5, min(10, len(u)) + 1)}
 
-    def begins(units: set[str]) -> set[str]:
-        return {u[:k] for u in units for k in range(5, 11) if len(u) >= k}
 
+def _pick(toxic: list[str], clean: list[str]) -> list[str]:
+    """Word beginnings that cover toxic documents and hardly any clean one, greedily, each document up to five times."""
     inside, outside = Counter(), Counter()
-    grams = [begins(u) for u in toxic]
-    for g in grams:
-        inside.update(g)
-    common = {g for g, n in inside.items() if n >= 3}
-    for u in clean:
-        outside.update(begins(u) & common)
+    for text in toxic:
+        inside.update(_begins(text))
+    inside = {g: n for g, n in inside.items() if n >= 3}
+    for text in clean:
+        outside.update(g for g in _begins(text) if g in inside)
     rate = len(toxic) / max(1, len(clean))
-    good = {g: n for g, n in inside.items() if n >= 3 and n >= 10 * rate * outside[g]}
-    lists = [sorted(g & good.keys()) for g in grams]
+    good = {g for g, n in inside.items() if n >= 10 * rate * outside[g]}
+    lists = [sorted(_begins(text) & good) for text in toxic]
     where: dict[str, list[int]] = {}
     for i, g in enumerate(lists):
         for x in g:
@@ -214,7 +214,7 @@ def _pick(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     need, out = [5] * len(toxic), []
     while where and len(out) < LANDMARKS:
         best = max(where, key=lambda g: (sum(need[i] for i in where[g]) - 5 * rate * outside[g], len(g), g))
-        if sum(need[i] for i in where[best]) < max(2, len(toxic) / 200):
+        if sum(need[i] for i in where[best]) < max(2, len(toxic) / 64):
             break
         for i in where.pop(best):
             need[i] = max(0, need[i] - 1)
@@ -241,16 +241,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on labelled texts, sentence by sentence: a toxic text's label is carried by its most toxic sentence, a clean
     text's by all of its sentences.  Witnesses are chosen again with each round's machine; each also comes with a letter put
     into its telling words, so that gaps are learned."""
-    units = [{u for t in tokens_of(x) if len(u := _units(t)) >= 5} for x in texts]
-    toxic = [u for u, y in zip(units, labels, strict=True) if y]
-    clean = [u for u, y in zip(units, labels, strict=True) if not y]
+    toxic = [x for x, y in zip(texts, labels, strict=True) if y]
+    clean = [x for x, y in zip(texts, labels, strict=True) if not y]
     picked = _pick(toxic, clean)
     if not picked or not clean:
         return Model()
-    ordinary = [u for u, _ in sorted(Counter(u[:9] for s in clean for u in s if len(u) >= 6).items(), key=lambda x: (-x[1], x[0]))[:BACKGROUND]]
+    frequent = Counter(u[:9] for x in clean[:500] for u in {_units(t) for t in tokens_of(x)} if len(u) >= 6)
+    ordinary = [u for u, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:BACKGROUND]]
     landmarks = list(dict.fromkeys(picked + ordinary))
     scorer = Scorer(landmarks)
-    read = scorer.read(texts)
+    read = [x for a in range(0, len(texts), 200) for x in scorer.read(texts[a : a + 200])]
     # Nyström: features times the inverse root of the landmarks' own kernel matrix
     k = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((k + k.T) / 2)
