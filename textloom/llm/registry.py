@@ -74,3 +74,10 @@ def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .passages import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"), window=20).drop("kept_text")
+
+
+@query
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).drop("kept_text")
