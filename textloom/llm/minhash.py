@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
@@ -126,9 +126,11 @@ class _Linker:
     no element that the leader lacks.  Then what they have in common lies in the leader, so |x & y| <= min(|x & leader|,
     |y & leader|).  Hence a further link between members of different components needs a common element outside the
     leader, or sizes that this bound allows.  The former are the buckets of the next level, one for each leader and outside
-    element; the latter pairs are compared one by one, and so are those left after the last level."""
+    element, as far as they matter (``_prefixes``); the latter pairs are compared one by one, and so are those of a level
+    whose buckets hold few."""
 
-    LEVELS = 4
+    #: Levels at most; pairs for each member up to which a level's buckets are listed pair by pair instead.
+    LEVELS, LISTED = 4, 16
 
     def __init__(self, docs: DataFrame, classes: DataFrame, shingle: int, percent: int):
         self.docs, self.shingle, self.percent = docs, shingle, percent
@@ -142,6 +144,8 @@ class _Linker:
             members = self._mixed(keys)
             if members is None:
                 return self.comp
+            if level and members.agg(F.sum(F.col("n") - 1) <= 2 * self.LISTED * F.count("n")).first()[0]:
+                break
             if self.sets is None:
                 ids = members.select(F.col("id").alias("doc_id")).distinct()
                 self.sets = written(map_arrow(self.docs.join(ids, "doc_id", "left_semi"), partial(_sets, k=self.shingle), "id long, elements binary"), "sets")
@@ -157,8 +161,9 @@ class _Linker:
                 return self.comp
             rest = written(mixed.join(groups, "a", "left_semi"), "rest")
             self._check(self._bounded(rest))
-            keys = rest.select(F.col("b").alias("id"), F.explode("added").alias("e"), "a").select(F.xxhash64("a", "e").alias("key"), "id")
-        members = self._mixed(keys)
+            keys = self._prefixes(rest)
+        else:
+            members = self._mixed(keys)
         if members is not None:
             one, two = members.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), members.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
             self._check(one.join(two, "key").where("a < b and ca <> cb").select("a", "b"))
@@ -200,6 +205,19 @@ class _Linker:
         near = pairs.distinct().join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).where(agree >= 3).select("a", "b")
         self._link(written(self._compared(near).where("linked").select("a", "b"), "links"))
 
+    def _prefixes(self, rest: DataFrame) -> DataFrame:
+        """Buckets (key, id) of the next level: leader and outside element.
+
+        x, with c of its n elements in the leader, needs |x & y| >= share * n, so at least q = share * n - c of its outside
+        elements are y's as well.  Order outside elements by how many of the leader's members have them, rarest first: then
+        x and y share one of the first |outside| - q + 1 of x, and of y.  Elements of one member only fill the first ranks."""
+        outside = rest.select("a", "b", F.size("added").alias("size"), (F.ceil((F.col("common") + F.size("added")) * self.percent / 100) - F.col("common")).alias("q"), F.explode("added").alias("e"))
+        often = written(outside.groupBy("a", "e").agg(F.count("b").alias("n")).where("n > 1"), "often")
+        shared = outside.join(often, ["a", "e"])
+        mine = Window.partitionBy("a", "b")
+        ranked = shared.withColumn("rank", F.row_number().over(mine.orderBy("n", "e")) + F.col("size") - F.count("e").over(mine))
+        return ranked.where(F.col("rank") <= F.col("size") - F.greatest(F.col("q"), F.lit(1)) + 1).select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("id"))
+
     def _bounded(self, rest: DataFrame) -> DataFrame:
         """Pairs of a leader's members that may link though all they share lies in the leader: min(common) is large enough
         for both sizes.  One of them is not linked with the leader, so the other is smaller than the leader.  They are
