@@ -283,9 +283,12 @@ def _found(batches: Iterator[pa.RecordBatch], tagger: Tagger) -> Iterator[pa.Rec
 
 
 def fit_tagger(docs: DataFrame) -> Tagger:
-    """Train on the first ``SAMPLE_DOCS`` documents, by a hash of doc_id, that hold a digit or @ and are not overly long."""
+    """Train on the first ``SAMPLE_DOCS`` documents, by a hash of the text, that hold a digit or @ and are not overly long."""
     some = docs.where(F.length("text") <= SAMPLE_CHARS).where(F.col("text").rlike("[0-9@]"))
-    rows = some.select("doc_id", "text", F.xxhash64("doc_id", F.lit(3)).alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS).collect()
+    order = F.xxhash64("text", F.lit(3))
+    # first the hashes alone, so that no task sends more texts than are wanted
+    picked = some.select(order.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCS)
+    rows = some.withColumn("h", order).join(F.broadcast(picked), "h").select("h", "text").groupBy("h").agg(F.min("text").alias("text")).collect()
     return train([r.text for r in sorted(rows, key=lambda r: (r.h, r.text))])
 
 
