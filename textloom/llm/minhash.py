@@ -259,3 +259,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, t: int
     alone = signs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = filled.select("doc_id", "n_shingles", "h1", "h2").join(named_comp, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id").union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without near-duplicates: of each group the document of smallest doc_id
+    stays, once, however often it is repeated.  Rows without doc_id cannot be told apart by it and stay."""
+    kept = near_duplicates(docs, shingle, percent).where("kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))

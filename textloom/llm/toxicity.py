@@ -343,3 +343,19 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return map_arrow(rows, partial(_scores, model=model), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def _passed(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    scorer = _scorers.setdefault(tuple(model.landmarks), Scorer(model.landmarks))
+    for batch in batches:
+        texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        if not model.landmarks or not texts:
+            yield batch
+            continue
+        score = model.score(np.array([model.evidence(rows, n) for rows, _, n in scorer.read(texts)]))
+        yield batch.filter(pa.array(score < 0.5))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that score below 0.5; rows and cases as in ``toxicity``."""
+    return map_arrow(docs, partial(_passed, model=train(docs, labels)), docs.schema)
