@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +64,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_steps(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP_BYTES, lower: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches into steps of about ``step`` bytes of text: (rows, their bytes, offsets of rows in the bytes).
 
-    A null text counts as empty."""
+    A null text counts as empty.  ``lower``: letters of all alphabets are lower-cased."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
+        if lower:
+            texts = pc.utf8_lower(texts)
         offsets, data = text_buffers(texts)
         at, n = 0, batch.num_rows
         while at < n:
