@@ -1,23 +1,6 @@
-"""Queries over the star schema and the text tables, each with its SQL twin where SQL can express it."""
+"""All queries of the library."""
 
-from __future__ import annotations
+from textloom.plans import curation  # noqa: F401
+from textloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "d3_greedy_near_dedup"
-
-
-def query(name: str, sql: str | None = None) -> Callable:
-    """Register a query, and its SQL twin."""
-
-    def put(f: Callable) -> Callable:
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return put
