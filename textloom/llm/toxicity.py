@@ -22,7 +22,7 @@ LANDMARKS, BACKGROUND = 96, 8
 #: Kernel: length of subsequences, and the factor for each character that one spans.
 ORDER, DECAY = 3, 0.7
 #: Characters of a unit that the kernel looks at (a longer unit is looked at in overlapping pieces), and cached units.
-UNIT, CACHE = 40, 400_000
+UNIT, CACHE = 40, 200_000
 
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[^\S\n][^\W\d_]){2,}(?!\S)")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
