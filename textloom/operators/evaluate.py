@@ -40,13 +40,6 @@ def micro_rate(errors: Column, units: Column) -> Column:
     return F.when(F.sum(units) > 0, F.sum(errors) / F.sum(units)).otherwise(F.lit(0.0))
 
 
-def token_distance(spark_col_a: Column, spark_col_b: Column, size: int = 50) -> Column:
-    """Edit distance of two token arrays: distinct tokens of both become one character each, and characters are compared."""
-    alphabet = F.array_distinct(F.concat(spark_col_a, spark_col_b))
-    coded = lambda xs: F.array_join(F.transform(xs, lambda t: F.char(F.lit(0x21) + F.array_position(alphabet, t).cast("int"))), "")
-    return F.levenshtein(coded(spark_col_a), coded(spark_col_b))
-
-
 def ece(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Expected calibration error of ``rows`` (confidence in [0, 1], label 0/1): equal bins, the last one closed."""
     at = F.least(F.floor(F.col("confidence") * bins), F.lit(bins - 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.functions import edits
 from textloom.operators import evaluate as E
 from textloom.plans.registry import query
 from textloom.sources.tables import read
@@ -70,7 +71,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.filter(F.split(_ascii(c), " +"), lambda w: w != "")
     pairs = _pairs(spark, d).withColumn("hyp", F.coalesce("hyp", F.lit("")))
-    return pairs.select("conv_id", "turn", E.token_distance(words("ref"), words("hyp")).alias("errors"), F.size(words("ref")).alias("units"))
+    return pairs.select("conv_id", "turn", edits.token_distance(words("ref"), words("hyp")).alias("errors"), F.size(words("ref")).alias("units"))
 
 
 @query(
