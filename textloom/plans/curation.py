@@ -75,7 +75,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "a2_validate_distribution",
     """SELECT t.lang, coalesce(n, 0) / (SELECT count(*) FROM documents) AS actual, t.target, abs(coalesce(n, 0) / (SELECT count(*) FROM documents) - t.target) > 0.05 AS off_target
-       FROM (VALUES ('en', 0.55), ('fr', 0.2), ('de', 0.15), ('zh', 0.1)) t(lang, target) LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a ON a.lang = t.lang""",
+       FROM (SELECT col0 AS lang, CAST(col1 AS DOUBLE) AS target FROM (VALUES ('en', 0.55), ('fr', 0.2), ('de', 0.15), ('zh', 0.1))) t LEFT JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY lang) a ON a.lang = t.lang""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     targets = spark.createDataFrame([("en", 0.55), ("fr", 0.2), ("de", 0.15), ("zh", 0.1)], "lang string, target double")
