@@ -22,8 +22,9 @@ ANCHOR, SHARD, SERVED = 8, 20_000, 2_000
 def _anchors(words: wh.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all anchor-length word runs, and for every window start the start of its anchor: the run of least hash
     inside the window.  Equal windows have equal anchors, and neighbouring windows mostly share one."""
-    grams = wh.kgrams(words.hashes, ANCHOR)
-    span = window - ANCHOR + 1
+    anchor = min(ANCHOR, window)
+    grams = wh.kgrams(words.hashes, anchor)
+    span = window - anchor + 1
     n = len(words.hashes) - window + 1
     if n <= 0:
         return grams, np.zeros(0, np.int64)
