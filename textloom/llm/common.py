@@ -46,7 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(*tables: DataFrame) -> None:
     """Remove work tables that nothing reads any more, and let the driver drop the shuffle files of finished steps."""
-    spark = tables[0].sparkSession
+    spark = SparkSession.active()
     for df in tables:
         _remove(spark, df._written_at)
     gc.collect()
