@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -28,12 +29,13 @@ def _anchors(words: wh.Words, window: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(words.hashes) - window + 1
     if n <= 0:
         return grams, np.zeros(0, np.int64)
-    least, at = grams[:n].copy(), np.arange(n)
-    for k in range(1, span):
-        smaller = grams[k : k + n] < least
-        least[smaller] = grams[k : k + n][smaller]
-        at[smaller] = np.flatnonzero(smaller) + k
-    return grams, at
+    # hash above, place below: the least of a window tells where it stands, and the first of equals wins
+    bits = np.uint64(max(1, int(len(grams)).bit_length()))
+    least, size = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), 1
+    while size * 2 <= span:
+        least, size = np.minimum(least[:-size], least[size:]), size * 2
+    least = np.minimum(least[:n], least[span - size : span - size + n])
+    return grams, (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 def _emit_anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -105,6 +107,13 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(c[i : i + 256], k) for c, k in zip(out, kinds, strict=True)], names=["shard", "part", "tail", "k1", "text", "starts"])
 
 
+def _runs(starts: list[int], window: int) -> list[tuple[int, int]]:
+    """Stretches of words whose windows all start in ``starts``."""
+    order = np.sort(np.array(starts))
+    cuts = np.flatnonzero(np.diff(order) != 1) + 1
+    return [(int(x[0]), int(x[-1]) + window) for x in np.split(order, cuts)]
+
+
 def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows come by (shard, part), owners first: their passages make the automaton, then texts stream through it.
 
@@ -120,26 +129,27 @@ def _search(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
                 machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
             words = text[i].encode().split()
             if not tail[i]:
-                ids = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words)
-                for s in starts[i]:
-                    machine.add_word(ids[s : s + window], len(places))
-                    places.append((k1[i], s))
+                for a, b in _runs(starts[i], window):
+                    ids = tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[a:b]])
+                    for s in range(b - a - window + 1):
+                        machine.add_word(ids[s : s + window], len(places))
+                        places.append((k1[i], a + s))
                 continue
             if not closed:
                 machine.make_automaton()
                 closed = True
             if not places:
                 continue
-            get = numbers.get
-            ranges: list[int] = []
-            for end, place in machine.iter(tuple(get(w, 0) for w in words)):
+            key, ranges, last = k1[i], [], -1
+            for end, place in machine.iter(tuple(map(numbers.get, words, repeat(0)))):
                 a = end - window + 1
-                if places[place] == (k1[i], a):
+                if a == places[place][1] and key == places[place][0]:
                     continue
-                if ranges and a <= ranges[-1]:
-                    ranges[-1] = end + 1
+                if a <= last:
+                    last = ranges[-1] = end + 1
                 else:
-                    ranges += [a, end + 1]
+                    last = end + 1
+                    ranges += [a, last]
             if ranges:
                 keys.append(k1[i])
                 covered.append(ranges)
