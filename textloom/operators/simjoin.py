@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from textloom.operators.work import cut
 
 
+#: Grams of their prefixes that a pair must share to be looked at.
+MEETINGS = 16
+
+
 def gram_set(text: str, n: int = 3) -> set[str]:
     text = text.strip()
     return {text} if len(text) < n else {text[i : i + n] for i in range(len(text) - n + 1)}
@@ -40,8 +44,9 @@ def similar_pairs(items: DataFrame, threshold: float = 0.75, n: int = 3) -> Data
     """Pairs (a, b), a < b, of ``items`` (id, part, text) of one part whose character n-gram sets have a Jaccard similarity of
     at least ``threshold``; with a threshold of 0 or less, that share any gram; above 1, none.
 
-    Grams (64-bit hashes) are put into one order, rarest first; a pair shares one of the first size - ceil(t * size) + 1 of
-    either, at places that leave room for the overlap needed.  Candidates are confirmed on their whole sets."""
+    Grams (64-bit hashes) are put into one order, rarest first; a pair whose overlap is large enough shares at least m of the
+    first size - ceil(t * size) + m of either (all of the overlap, if that is less than m = ``MEETINGS``).  Candidates are
+    confirmed on their whole sets."""
     spark = items.sparkSession
     if threshold > 1:
         return spark.createDataFrame([], "a long, b long")
@@ -55,13 +60,11 @@ def similar_pairs(items: DataFrame, threshold: float = 0.75, n: int = 3) -> Data
     # grams of one item only meet nobody; they take the first places of their item's order
     own = Window.partitionBy("id", "part")
     ranked = each.join(rarity, "g").withColumn("place", F.row_number().over(own.orderBy("df", "g")) + F.col("size") - F.count("g").over(own))
-    head = cut(ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + 1).select("id", "part", "size", "g", "place"), "prefixes")
-    x, y = head.toDF("a", "part", "sa", "g", "pa"), head.toDF("b", "part", "sb", "g", "pb")
+    head = cut(ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + MEETINGS).select("id", "part", "size", "g"), "prefixes")
+    x, y = head.toDF("a", "part", "sa", "g"), head.toDF("b", "part", "sb", "g")
     needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("sa") + F.col("sb")) - F.lit(1e-6))
-    room = F.lit(1) + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
     met = x.join(y, ["part", "g"]).where("a < b").where(F.least("sa", "sb") >= F.lit(threshold) * F.greatest("sa", "sb") - F.lit(1e-6))
-    # the first common gram leaves the most room, and a pair is looked at there
-    pairs = met.groupBy("a", "b").agg(F.max(room).alias("room"), F.first(needed).alias("needed")).where("room >= needed").select("a", "b")
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first(needed).alias("needed")).where(F.col("n") >= F.least(F.lit(MEETINGS), F.col("needed"))).select("a", "b")
     one, two = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     confirmed = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
     return confirmed.where(F.col("both") >= F.lit(threshold) * (F.size("ga") + F.size("gb") - F.col("both")) - F.lit(1e-9)).select("a", "b")
@@ -93,12 +96,19 @@ def near_dedup(items: DataFrame, threshold: float = 0.75, n: int = 3) -> DataFra
 _MOD = (1 << 32) - 1
 
 
+@lru_cache(1 << 18)
+def _digest(gram: str) -> int:
+    return int.from_bytes(hashlib.blake2s(gram.encode(), digest_size=4).digest(), "little")
+
+
 def minhash_bands(grams: set[str], hashes: int = 32, rows: int = 4) -> list[str]:
     """Bands of minimum hashes h * (2i + 2654435761) + (i + 1) * 2246822519 mod 2**32 over 4-byte BLAKE2s digests."""
-    values = [int.from_bytes(hashlib.blake2s(g.encode(), digest_size=4).digest(), "little") for g in grams]
-    if not values:
+    if not grams:
         return []
-    sign = [min((v * (2 * i + 2654435761) + (i + 1) * 2246822519) & _MOD for v in values) for i in range(hashes)]
+    values = np.fromiter((_digest(g) for g in grams), np.uint64, len(grams))
+    i = np.arange(hashes, dtype=np.uint64)[:, None]
+    mixed = values * (i * np.uint64(2) + np.uint64(2654435761)) + (i + np.uint64(1)) * np.uint64(2246822519)
+    sign = (mixed & np.uint64(_MOD)).min(1).tolist()  # products wrap at 2**64, which 2**32 divides
     return [f"{b}:" + ",".join(map(str, sign[b * rows : (b + 1) * rows])) for b in range(hashes // rows)]
 
 
@@ -114,8 +124,9 @@ def lsh_pairs(items: DataFrame, threshold: float = 0.85, n: int = 3, hashes: int
     """Pairs (a, b), a < b, of ``items`` (id, text) that share a MinHash band and have a Jaccard similarity of at least
     ``threshold``."""
     signed = cut(items.select("id", "text").mapInArrow(partial(_band_rows, n=n, hashes=hashes, rows=rows), "id long, bands array<string>, grams array<long>"), "bands")
-    keys = signed.select("id", F.explode("bands").alias("band"))
-    pairs = keys.toDF("a", "band").join(keys.toDF("b", "band"), "band").where("a < b").select("a", "b").distinct()
+    keys = signed.select("id", F.size("grams").alias("size"), F.explode("bands").alias("band"))
+    near = F.least("sa", "sb") >= F.lit(threshold) * F.greatest("sa", "sb") - F.lit(1e-9)  # sizes alone rule the others out
+    pairs = keys.toDF("a", "sa", "band").join(keys.toDF("b", "sb", "band"), "band").where("a < b").where(near).select("a", "b").distinct()
     one, two = signed.select(F.col("id").alias("a"), F.col("grams").alias("ga")), signed.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
     return both.where(F.col("both") >= F.lit(threshold) * (F.size("ga") + F.size("gb") - F.col("both")) - F.lit(1e-9)).select("a", "b")
@@ -141,8 +152,3 @@ def components(edges: DataFrame) -> DataFrame:
     out = cut(out, "roots")
     least = out.groupBy("to").agg(F.least(F.min("id"), F.col("to")).alias("component"))
     return out.join(least, "to").select("id", "component")
-
-
-def shared_prefix_rows(threshold: float, size: int) -> int:
-    """Grams of a set of ``size`` that a partner at ``threshold`` must meet one of."""
-    return size - math.ceil(threshold * size - 1e-9) + 1
