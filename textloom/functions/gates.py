@@ -28,7 +28,9 @@ HIGH, LOW, REVISED, MUCH_REVISED, YOUNG_MS = 0.92, 0.80, 0.12, 0.20, 600.0
 
 def cleanup_signals(text: Column) -> Column:
     """Names of the signals a text shows, in fixed order."""
-    tests = {name: text.rlike(p) for name, p in SIGNALS.items()}
+    # all signals but one need a CJK character, and one quick look at the text settles that
+    cjk = text.rlike(f"[{_CJK}]")
+    tests = {name: text.rlike(p) if name == "malformed_spacing_or_punctuation" else cjk & text.rlike(p) for name, p in SIGNALS.items()}
     # a filler counts as embedded only if something visible is left without it
     filler = F.regexp_extract(text, SIGNALS["embedded_disfluency"], 0)
     tests["embedded_disfluency"] &= F.length(F.regexp_replace(text, f"[^\\w{_CJK}]", "")) > F.length(filler)
