@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from fractions import Fraction
 
@@ -129,3 +130,16 @@ def set_cover(memberships: DataFrame, limit: int) -> list:
         chosen.append(best[0]["clip"])
         left = left.join(left.where(F.col("clip") == F.lit(best[0]["clip"])).select("term"), "term", "left_anti")
     return chosen
+
+
+def plan_batch(quotas: Mapping[str, int], retained: Mapping[str, int], size: int, first: int, seed: str = "s") -> list[tuple[int, str]]:
+    """(serial, scene) of the next candidates: always the scene with the largest share of its quota still open, and no more
+    than that; the order of a batch is that of a hash."""
+    left = {s: n - retained.get(s, 0) for s, n in quotas.items()}
+    picked: list[str] = []
+    for _ in range(min(size, sum(max(0, n) for n in left.values()))):
+        scene = max(left, key=lambda s: left[s] / max(1, quotas[s]))
+        left[scene] -= 1
+        picked.append(scene)
+    order = sorted(range(len(picked)), key=lambda i: hashlib.sha256(f"{seed}|{first}|{i}".encode()).digest())
+    return [(first + i, picked[j]) for i, j in enumerate(order)]
