@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.functions.edits import revision_ratio
+from textloom.functions.windows import Chunker
 
 STABLE_UPDATES, STABLE_MS, SMALL_REVISION = 2, 600.0, 0.20
 _ENDS = "。！？!?；;"
@@ -138,3 +140,57 @@ def fixed_groups(chunks: DataFrame, k: int = 3) -> DataFrame:
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by type and tumbling event-time window; on a stream, events later than the watermark are dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+_CHUNKS = "session_id string, revision_no long, chunk_no int, chunk string, error string"
+
+
+def _chunk_updates(key: tuple, rows: pd.DataFrame, kept: tuple[str, int, int]) -> tuple[pd.DataFrame, tuple[str, int, int]]:
+    """New chunks of a session's updates (revision_no, text, boundary) in order, and its state (committed, next chunk, last
+    revision).  A revised committed chunk gives an error row and leaves the state as it was; overtaken revisions are skipped."""
+    chunker, last, out = Chunker(committed=kept[0], index=kept[1]), kept[2], []
+    for r in rows.sort_values("revision_no").itertuples():
+        if r.revision_no <= last:
+            continue
+        last = int(r.revision_no)
+        try:
+            out += [(key[0], last, i, c, None) for i, c in chunker.update(r.text or "", bool(r.boundary))]
+        except ValueError as error:
+            out.append((key[0], last, None, None, str(error)))
+    frame = pd.DataFrame(out, columns=[c.split()[0] for c in _CHUNKS.split(", ")])
+    return frame.astype({"chunk_no": "Int32", "revision_no": "int64"}), (chunker.committed, chunker.index, last)
+
+
+def _chunk_stream(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    out, kept = _chunk_updates(key, pd.concat(list(frames)), state.get if state.exists else ("", 0, -1))
+    state.update(kept)
+    yield out
+
+
+def chunk_stream(updates: DataFrame) -> DataFrame:
+    """Streaming: cumulative ``updates`` (session_id, revision_no, text, boundary) -> chunks as soon as they are complete."""
+    keyed = updates.select(F.col("session_id").cast("string"), F.col("revision_no").cast("long"), "text", "boundary")
+    return keyed.groupBy("session_id").applyInPandasWithState(_chunk_stream, _CHUNKS, "committed string, next int, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def chunks_of_sessions(updates: DataFrame) -> DataFrame:
+    """The same over a finished table."""
+    keyed = updates.select(F.col("session_id").cast("string"), F.col("revision_no").cast("long"), "text", "boundary")
+    return keyed.groupBy("session_id").applyInPandas(lambda key, rows: _chunk_updates(key, rows, ("", 0, -1))[0], _CHUNKS)
+
+
+_MEMORY = "session_id string, name string, trust string, occurrences long"
+
+
+def _remember(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    memory = Memory(json.loads(state.get[0]) if state.exists else None)
+    for r in pd.concat(list(frames)).sort_values(["ts", "observation_id"]).itertuples():
+        memory.observe(r.name, r.ts.timestamp() * 1000, r.confidence, str(r.observation_id))
+    state.update((json.dumps(memory.entries),))
+    yield pd.DataFrame([(key[0], e["name"], e["trust"], e["count"]) for e in memory.entries.values()], columns=["session_id", "name", "trust", "occurrences"])
+
+
+def memory_stream(observations: DataFrame) -> DataFrame:
+    """Streaming: what each session touched by a micro-batch remembers after it; at most ``Memory.CAPACITY`` names are state."""
+    keyed = observations.select(F.col("session_id").cast("string"), "ts", "name", "confidence", "observation_id")
+    return keyed.groupBy("session_id").applyInPandasWithState(_remember, _MEMORY, "entries string", "update", GroupStateTimeout.NoTimeout)
