@@ -57,3 +57,20 @@ def test_sounds(spark):
     spans = spark.createDataFrame([(1, ["zhang", "san"])], "id int, sounds array<string>")
     names = spark.createDataFrame([("A", ["zhang", "shan"]), ("B", ["li", "si"])], "name string, sounds array<string>")
     assert [(r.name, r.place) for r in sound.retrieve(spans, names).collect()] == [("A", 1)]
+
+
+@pytest.mark.parametrize(
+    ("raw", "refined", "want"),
+    [
+        ("今天天气很好。", "", ["empty_refiner_output"]),
+        ("今天天气很好。", "今天天气很好。", []),
+        ("一共二十三个苹果。", "一共23个苹果。", []),
+        ("一共二十三个苹果。", "一共24个苹果。", ["numeric_value_mismatch"]),
+        ("今天我们讨论这个计划。", "今天我们讨论这个计划。" * 3, ["repeated_sentence", "severe_content_loss"]),
+        ("今天我们去公园散步然后回家吃饭看电影睡觉。", "好。", ["severe_content_loss"]),
+    ],
+)
+def test_vetoes(raw, refined, want):
+    from textloom.functions import guard
+
+    assert guard.reject_reasons(raw, refined) == want

@@ -50,3 +50,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     e = F.transform("embedding", lambda x: x.cast("double"))
     total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
     return read(spark, d, "embeddings").select("vec_id", (total / F.size("embedding")).alias("mean"), F.array_min("embedding").alias("least"), (F.size(F.filter("embedding", lambda x: x < F.lit(-0.1).cast("double"))) / F.size("embedding")).alias("low"))
+
+
+@query("f18_reject_reasons")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn's first half as a rewrite of the turn: what the vetoes say."""
+    from textloom.functions import guard
+
+    turns = read(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("raw"))
+    half = F.expr("substring(raw, 1, int(length(raw) / 2))")
+    return turns.select("conv_id", "turn", guard.vetoes(F.col("raw"), half).alias("reasons"))
