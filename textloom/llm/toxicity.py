@@ -129,12 +129,16 @@ class Scorer:
             out |= get(c, 0)
         return out
 
+    def forget(self) -> None:
+        """Give memory back at a task's end: the worker goes on to other operators."""
+        self.cache.clear()
+        self.rows.clear()
+
     def learn(self, tokens: set[str]) -> None:
         """A landmark of which a unit lacks a letter counts 0 for it: gaps and insertions are tolerated, losses are not."""
         fresh = [t for t in tokens if t not in self.cache]
         if len(self.cache) + len(fresh) > CACHE:
-            self.cache.clear()
-            self.rows.clear()
+            self.forget()
             fresh = list(tokens)
         units, of = [], []
         for t in fresh:
@@ -308,6 +312,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
         read = scorer.read(texts) if model.landmarks else [(np.zeros((0, 0)), None, 0)] * len(texts)
         score = model.score(np.array([model.evidence(rows, n) for rows, _, n in read]).reshape(-1, len(model.curve)))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+    scorer.forget()
 
 
 def _held_out() -> F.Column:
@@ -354,6 +359,7 @@ def _passed(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             continue
         score = model.score(np.array([model.evidence(rows, n) for rows, _, n in scorer.read(texts)]))
         yield batch.filter(pa.array(score < 0.5))
+    scorer.forget()
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
