@@ -385,6 +385,56 @@ def test_dedup_lines(spark, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_simhash_of_lines():
+    """SimHash of normal forms, by counting each bit; length classes let no near-equal pair part."""
+    texts = ["Some, words: HERE\n\n\nno", "a", "żółć x-y " + "long " * 200]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    found = lines._Lines(data, offsets)
+    forms = [n for t in texts for x in t.split("\n") if (n := lines.normalised(x))]
+    got, length = found.simhash(np.arange(len(forms)))
+    assert length.tolist() == [len(x) for x in forms]
+    for own, form in zip(got, forms, strict=True):
+        b = b" " + form.encode() + b" "
+        grams = [b[i : i + lines.GRAM] for i in range(max(1, len(b) - lines.GRAM + 1))]
+        if len(b) >= lines.GRAM:
+            h = wh.mix(np.array([int.from_bytes(g, "little") for g in grams], np.uint64))
+            voted = [wh.mix(h ^ np.uint64(0x51ED270B7F4A7C15 * (k + 1) & (1 << 64) - 1)) for k in range(lines.BLOCKS * lines.BITS // 64)]
+            bits = [2 * ((v >> np.uint64(j)) & np.uint64(1)).sum() > len(grams) for v in voted for j in range(64)]
+            assert own.tolist() == [sum(int(bits[i * lines.BITS + j]) << j for j in range(lines.BITS)) for i in range(lines.BLOCKS)]
+    n = np.arange(1, 3000)
+    least = n - np.floor(n * (1 - 0.9) + 1e-9).astype(int)
+    classes = lines.length_class(n, 0.9)
+    assert (classes - classes[least - 1] <= 1).all()
+
+
+def test_near_equal_lines_are_linked_in_any_table(spark):
+    """A typo in a line of twelve words: of such pairs nearly all are linked, as many in a small table as in a large one."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(5, 9)))
+    first = [" ".join(word() for _ in range(12)) for _ in range(120)]
+    second = []
+    for x in first:
+        at = rnd.choice([i for i, c in enumerate(x) if c != " "])
+        second.append(x[:at] + "z" + x[at + 1 :])
+    assert all(_distance(a, b) <= 0.1 * len(a) for a, b in zip(first, second, strict=True))
+    other = [" ".join(word() for _ in range(12)) for _ in range(6000)]
+    for more in ([], other):
+        rows = list(enumerate(["\n".join(first), "\n".join(second), "\n".join(more)]))
+        out = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert out[0].n_kept == len(first) and out[2].n_kept == max(1, len(more))
+        assert out[1].n_kept <= 6
+
+
 def test_majority_of_long_lines():
     rng = np.random.default_rng(3)
     n = np.array([1, 2, 255, 256, 700])
