@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +242,22 @@ def test_contamination(spark, none, monkeypatch, block):
     assert decontaminate.contamination(none, bench).count() == 0
 
 
+def test_contamination_of_long_items_and_large_tables():
+    """Copies are found whatever their length, and however much more the words around them weigh in a larger table."""
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("bcdfghklmn") for _ in range(7))
+    around = lambda n: [word() for _ in range(n)]
+    one, two = around(10), around(3000)
+    items = decontaminate.Items([(0, " ".join(one)), (1, " ".join(two))])
+    texts = [" ".join(around(27) + one + around(59)), " ".join(around(40) + two + around(40)), " ".join(around(100)), None, ""]
+    batch = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
+    for halves in (10**4, 10**9):
+        idf = np.full(len(items.terms), 4.0)
+        space = decontaminate.Space(items, idf, np.eye(len(idf)), halves)
+        got = [f for _, found in decontaminate._found(iter([batch]), space) for f in found]
+        assert [sorted(f) for f in got] == [[0], [1], [], [], []]
+
+
 # -- 6 personal data
 
 _KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
