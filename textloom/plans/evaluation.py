@@ -70,7 +70,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("f1_word_edit_distance")
 def _(spark: SparkSession, d: str) -> DataFrame:
     words = lambda c: F.filter(F.split(_ascii(c), " +"), lambda w: w != "")
-    pairs = _pairs(spark, d).withColumn("hyp", F.coalesce("hyp", F.lit("")))
+    hyp = F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    pairs = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("ref"), hyp.alias("hyp"))
     return pairs.select("conv_id", "turn", edits.token_distance(words("ref"), words("hyp")).alias("errors"), F.size(words("ref")).alias("units"))
 
 

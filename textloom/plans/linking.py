@@ -196,7 +196,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("f7_align_and_apply")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Every target is rebuilt from its source and the alignment's edits."""
-    pairs = read(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 60).alias("a"), F.substring(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), 1, 60).alias("b")).where("b is not null")
+    pairs = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"), F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("b")).where("b is not null")
     aligned = pairs.withColumn("edits", edits.align_edits(F.col("a"), F.col("b")))
     return aligned.select("conv_id", "turn", F.size("edits").alias("n_edits"), (edits.apply_edits(F.col("a"), F.col("edits")) == F.col("b")).alias("rebuilt"))
 
@@ -280,13 +280,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select("vec_id", gates.rms(F.col("embedding")).alias("rms"), gates.peak(F.col("embedding")).alias("peak"))
 
 
-def _updates(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("revision_no"), F.timestamp_seconds(F.col("turn") * 2).alias("ts"), F.substring("text", 1, 120).alias("text"), (F.col("role") == "system").alias("is_final"))
+def _updates(spark: SparkSession, d: str, text: F.Column) -> DataFrame:
+    return read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("revision_no"), F.timestamp_seconds(F.col("turn") * 2).alias("ts"), text.alias("text"), (F.col("role") == "system").alias("is_final"))
 
 
 @query("t2_hypothesis_stability")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.stability_of(_updates(spark, d))
+    return sessions.stability_of(_updates(spark, d, F.col("text")))
 
 
 @query("t3_session_memory")
@@ -297,7 +297,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t7_latest_wins", "SELECT conv_id AS session_id, arg_max(text[:120], (CASE WHEN role = 'system' THEN 1000000 ELSE 0 END) + turn) AS text, arg_max(turn, (CASE WHEN role = 'system' THEN 1000000 ELSE 0 END) + turn) AS revision_no FROM conversations GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.latest_wins(_updates(spark, d))
+    return sessions.latest_wins(_updates(spark, d, F.substring("text", 1, 120)))
 
 
 @query("t15_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

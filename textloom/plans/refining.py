@@ -57,6 +57,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """Each turn's first half as a rewrite of the turn: what the vetoes say."""
     from textloom.functions import guard
 
-    turns = read(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("raw"))
+    turns = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("raw"))
     half = F.expr("substring(raw, 1, int(length(raw) / 2))")
     return turns.select("conv_id", "turn", guard.vetoes(F.col("raw"), half).alias("reasons"))
