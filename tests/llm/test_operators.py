@@ -124,6 +124,21 @@ def test_toxicity_learns_gapped_insults(spark, none):
     assert {r.predicted for r in toxicity.toxicity(docs, labels.limit(0)).collect()} == {0}
 
 
+def test_toxicity_reads_long_tokens_to_their_end():
+    rnd = random.Random(2)
+    plain = "stone river cloud window garden letter paper table music forest winter summer".split()
+    words = lambda n, join: join.join(rnd.choice(plain) for _ in range(n))
+    text = lambda bad: words(20, " ") + ". " + (f"you {rnd.choice(['grobnik', 'vlatzer'])} " if bad else "") + words(3, " ")
+    labels = [int(i % 4 == 0) for i in range(400)]
+    model = toxicity.fit([text(y) for y in labels], labels)
+    scorer = toxicity.Scorer(model.landmarks)
+    scores = lambda texts: [float(model.score(model.evidence(rows, n))) for rows, _, n in scorer.read(texts)]
+    joins = [",", "_", "-", "/", ""]
+    long = [words(15, j) + j + "grobnik" + j + words(15, j) for j in joins] + [" ".join(words(12, "") + "vlatzer" + words(3, ""))]
+    assert min(scores(long)) >= 0.5
+    assert max(scores([words(31, j) for j in joins] + [" ".join(words(16, ""))])) < 0.5
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     rows = [(i, f"word{i % 7} other text grobnik{i % 3}") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

@@ -21,8 +21,9 @@ TOXIC_SAMPLE, CLEAN_SAMPLE, SAMPLE_CHARS = 1000, 2000, 20_000
 LANDMARKS, BACKGROUND = 96, 8
 #: Kernel: length of subsequences, and the factor for each character that one spans.
 ORDER, DECAY = 3, 0.7
-#: Characters of a unit that the kernel looks at (a longer unit is looked at in overlapping pieces), and cached units.
-UNIT, CACHE = 40, 200_000
+#: Characters of a unit that the kernel looks at (a longer unit is looked at in overlapping pieces, and in near ones wherever
+#: a landmark may begin), and cached units.
+UNIT, NEAR, CACHE = 40, 12, 200_000
 
 _SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[^\S\n][^\W\d_]){2,}(?!\S)")
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -87,6 +88,22 @@ def _units(token: str) -> str:
     return "^" + letters if letters else ""
 
 
+def _parts(token: str) -> list[str]:
+    """The units of a token: all its letters, and those of each stretch between other characters."""
+    return list(dict.fromkeys(u for u in (_units(token), *map(_units, _NOT_LETTERS.split(token))) if u))
+
+
+def _pieces(token: str, heads: frozenset[str]) -> set[str]:
+    """What the kernel compares of a token: every piece has the start mark.  Within a unit longer than ``UNIT`` words have no
+    marked start, so pieces of ``NEAR`` characters begin wherever a landmark's first letter stands."""
+    out = set()
+    for u in _parts(token):
+        out.update("^" + u[a : a + UNIT - 1] for a in range(1, max(2, len(u) - UNIT // 2), UNIT // 2))
+        if len(u) > UNIT:
+            out.update("^" + u[a : a + NEAR - 1] for a, c in enumerate(u) if c in heads)
+    return out
+
+
 def tokens_of(text: str) -> list[str]:
     """Lower-cased tokens; letters spelled out with blanks between them are one more token."""
     text = text.lower()
@@ -120,6 +137,7 @@ class Scorer:
         self.landmarks = landmarks
         self.bits = {c: 1 << i % 63 for i, c in enumerate(sorted({c for z in landmarks for c in z}))}
         self.masks = np.array([self._mask(z) for z in landmarks], np.int64)
+        self.heads = frozenset(z[1] for z in landmarks)
         self.cache: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
 
@@ -143,9 +161,8 @@ class Scorer:
         units, of = [], []
         for t in fresh:
             self.cache[t] = -1
-            u = _units(t)
-            for a in range(0, max(1, len(u) - UNIT // 2), UNIT // 2):
-                units.append(u[a : a + UNIT])
+            for u in _pieces(t, self.heads):
+                units.append(u)
                 of.append(t)
         for a in range(0, len(units), 1 << 16):
             self._compare(units[a : a + (1 << 16)], of[a : a + (1 << 16)])
@@ -197,7 +214,7 @@ def _sentences(rows: np.ndarray, of: np.ndarray) -> np.ndarray:
 
 def _begins(text: str) -> set[str]:
     """Beginnings of a text's units, of 4 to 9 letters."""
-    return {u[:k] for t in set(tokens_of(text)) for u in (_units(t),) for k in range(5, min(10, len(u)) + 1)}
+    return {u[:k] for t in set(tokens_of(text)) for u in _parts(t) for k in range(5, min(10, len(u)) + 1)}
 
 
 def _pick(toxic: list[str], clean: list[str]) -> list[str]:
@@ -250,7 +267,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     picked = _pick(toxic, clean)
     if not picked or not clean:
         return Model()
-    frequent = Counter(u[:9] for x in clean[:500] for u in {_units(t) for t in tokens_of(x)} if len(u) >= 6)
+    frequent = Counter(u[:9] for x in clean[:500] for u in {u for t in tokens_of(x) for u in _parts(t)} if len(u) >= 6)
     ordinary = [u for u, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:BACKGROUND]]
     landmarks = list(dict.fromkeys(picked + ordinary))
     scorer = Scorer(landmarks)
@@ -341,7 +358,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     (doc_id, toxic) by ``train``.
 
     Texts are lower-cased and split at blanks; a token counts by its letters, so characters put between them do not matter,
-    and letters spelled with blanks between them are one token more.  The machine is trained on sentences; a text's score follows from
+    by those of its stretches between other characters, and, where there are more than ``UNIT`` of them, by those from any
+    letter on; letters spelled with blanks between them are one token more.  The machine is trained on sentences; a text's score follows from
     the margins of its most telling tokens, their number and its length.
     A null or empty text scores as one without telling words.  If the labels hold no or only one class, all scores are
     equal and below 0.5.  Rows without doc_id are scored and count as held out."""
