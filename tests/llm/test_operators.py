@@ -341,6 +341,29 @@ def test_tagger_on_held_out_windows():
     assert sum(bool(f) for (v, k), f in zip(made, found) if k is None) <= 0.1 * len(made)
 
 
+def test_addresses_without_digits_are_read(spark):
+    """Spelled-out addresses in texts without a digit or @, long ones too, at both ends of a text and inside."""
+    rnd = random.Random(8)
+    plain = "the stone of a river and cloud over window in garden letter paper table music forest".split()
+    words = lambda n: " ".join(rnd.choice(plain) for _ in range(n))
+    w = lambda a, b: "".join(rnd.choice("abcdefghilmnoprstuv") for _ in range(rnd.randint(a, b)))
+    rows, want = [], {}
+    for i in range(60):
+        at, dot = rnd.choice([(" [at] ", " [dot] "), (" (at) ", " (dot) ")])
+        local = f"{w(4, 9)}.{w(4, 9)}" if i % 2 else w(4, 9)
+        value = f"{local}{at}{w(5, 9)}{dot}{rnd.choice(['com', 'org', 'net'])}"
+        left = words(rnd.randint(2, 30)) + " "
+        rows.append((i, f"{left}{value} {words(20)}"))
+        want[i] = f"email:{len(left)}:{len(left) + len(value)}"
+    rows += [(100 + i, f"{words(9)} call {rnd.randint(10, 99)} or write a{i}@example.com {words(9)}") for i in range(60)]
+    rows += [(200, words(40)), (201, "so [at"), (202, "(dot)")]
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].spans for i in want} == want
+    assert all(got[i].n_email == 0 for i in want) and all(got[i].spans == "" for i in (200, 201, 202))
+    long = f"{'n' * 60} [at] {'h' * 60} [dot] com"
+    assert pii.segments(f"{'x ' * 99}{long}{' x' * 99}")[0] <= (198, 198 + len(long)) and pii.segments("(at)" + "y" * 99 + "7") == [(0, 76), (79, 104)]
+
+
 # -- 7 passages
 
 

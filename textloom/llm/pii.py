@@ -18,8 +18,9 @@ from .common import documents_view, map_arrow, text_steps
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Characters around a digit or @ that the tagger reads, window length and stride, and windows decoded at once.
-AROUND, WINDOW, STRIDE, GROUP = 24, 64, 32, 512
+#: Characters that the tagger reads around a digit, and around an @ or a bracketed "at" or "dot" (a local part has up to 64,
+#: a domain's label 63), window length and stride, and windows decoded at once.
+AROUND, ADDRESS, WINDOW, STRIDE, GROUP = 24, 72, 64, 32, 512
 #: Bounds of the training sample: documents with digits or @ read for it, windows cut from them, and made-up windows.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS, MADE_UP = 600, 20_000, 1500, 2500
 
@@ -30,6 +31,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
+_SPELLED_OUT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[(]at[\])]\s?[A-Za-z0-9-]{1,63}(?:\s?[\[(]dot[\])]\s?[A-Za-z0-9-]{1,63})*\s?[\[(]dot[\])]\s?[A-Za-z]{2,63}")
+_SEED = re.compile(r"[0-9]+|@+|[\[(](?:at|dot)[\])]")
 
 Span = tuple[str, int, int]
 
@@ -108,14 +111,15 @@ def _tags(length: int, spans: list[Span], shift: int = 0) -> np.ndarray:
 
 
 def segments(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and @: without one of these, no kind can be present."""
+    """Stretches around digits, @ and bracketed "at" and "dot": without one of these, no kind can be present."""
     out: list[tuple[int, int]] = []
-    for m in re.finditer(r"[0-9@]+", text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
+    for m in _SEED.finditer(text):
+        around = AROUND if m.group()[0].isdigit() else ADDRESS
+        a, b = max(0, m.start() - around), min(len(text), m.end() + around)
+        while out and a <= out[-1][1]:
+            x, y = out.pop()
+            a, b = min(a, x), max(b, y)
+        out.append((a, b))
     return out
 
 
@@ -130,8 +134,7 @@ def _made_up(rng: random.Random) -> tuple[str, str | None]:
         local = rng.choice([w(2, 10), w(2, 7) + rng.choice("._-") + w(2, 7), w(2, 8) + d(2), w(2, 8) + "." + d(2)])
         at, dot = rng.choice([("@", "."), ("@", "."), (" @ ", "."), ("@", " . "), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
         end = dot.join([w(3, 9) + rng.choice(["", d(1)]), rng.choice(["com", "org", "net", "example" + dot + "com"])])
-        text = local + at + end
-        return (text, "email") if re.search(r"[0-9@]", text) else (text + d(2), None)
+        return local + at + end, "email"
     if pick < 4:
         dot = rng.choice([".", ".", ".", " . ", "[.]"])
         return dot.join(str(rng.randint(0, 255)) for _ in range(4)), "ip"
@@ -198,8 +201,9 @@ def _plausible(kind: str, value: str) -> bool:
 
 
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Spans the tagger finds.  Stretches are cut into overlapping windows; the windows' emissions are averaged where they
-    overlap, and each stretch is decoded as a whole, so a span across windows is one span."""
+    """Spans the tagger finds, and addresses with both signs bracketed, which are certain.  Stretches are cut into overlapping
+    windows; the windows' emissions are averaged where they overlap, and each stretch is decoded as a whole, so a span across
+    windows is one span."""
     where = [(i, a, b) for i, text in enumerate(texts) for a, b in segments(text)]
     out: list[list[Span]] = [[] for _ in texts]
     if not where:
@@ -213,6 +217,9 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
                 _decode(tagger, texts, [one], out)
         else:
             _decode(tagger, texts, group, out)
+    for i, a, b in where:
+        for m in _SPELLED_OUT.finditer(texts[i], a, b):
+            out[i] = [s for s in out[i] if s[2] <= m.start() or m.end() <= s[1]] + [("email", *m.span())]
     return out
 
 
@@ -263,13 +270,26 @@ def _joined(spans: list[Span]) -> str:
 
 _SEEDS = np.zeros(256, bool)
 _SEEDS[48:58] = _SEEDS[64] = True
+_OPEN, _CLOSE = np.isin(np.arange(256), list(b"[(")), np.isin(np.arange(256), list(b"])"))
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def _seeds(data: np.ndarray) -> np.ndarray:
+    """Where bytes are digits or @, or a bracketed "at" or "dot" begins."""
+    seeds = _SEEDS[data]
+    opened = np.flatnonzero(_OPEN[data])
+    for word in (b"at", b"dot"):
+        at = opened[opened + len(word) + 1 < len(data)]
+        for k, c in enumerate(word, 1):
+            at = at[data[at + k] == c]
+        seeds[at[_CLOSE[data[at + len(word) + 1]]]] = True
+    return np.flatnonzero(seeds)
+
+
 def _found(batches: Iterator[pa.RecordBatch], tagger: Tagger) -> Iterator[pa.RecordBatch]:
     for batch, data, offsets in text_steps(batches):
         n = len(offsets) - 1
-        seeded = np.unique(np.searchsorted(offsets, np.flatnonzero(_SEEDS[data]), side="right") - 1)
+        seeded = np.unique(np.searchsorted(offsets, _seeds(data), side="right") - 1)
         counts = {k: np.zeros(n, np.int64) for k in KINDS}
         sums, spans = [_EMPTY] * n, [""] * n
         texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in seeded]
@@ -297,8 +317,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
     Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its check; counts and the digest are
     of these.  ``spans`` adds what the tagger finds elsewhere (numbers without a plus, other separators, spelled-out signs),
-    where it passes the kind's check as well.  Whole texts are searched; the tagger reads all stretches around digits and @,
-    outside of which none of the kinds can stand.  A null or empty text has no spans.  Repeated rows get equal results."""
+    where it passes the kind's check as well.  Whole texts are searched; the tagger reads all stretches around digits, @ and
+    bracketed "at" and "dot", outside of which none of the kinds can stand; addresses with both signs bracketed are found
+    by their pattern.  A null or empty text has no spans.  Repeated rows get equal results."""
     docs = documents_view(docs)
     tagger = fit_tagger(docs)
     return map_arrow(docs, partial(_found, tagger=tagger), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
