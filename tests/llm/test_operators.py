@@ -426,6 +426,21 @@ def test_keep_one(docs, rows):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
+def test_pairs_that_agree_in_few_bands_are_compared(spark):
+    """Only sizes rule a pair out before its sets are compared."""
+    band = lambda i, same: [k if k < same else 100 * i + k for k in range(32)]
+    classes = spark.createDataFrame([(1, 100, band(1, 2)), (2, 90, band(2, 2)), (3, 100, band(3, 0)), (4, 70, band(4, 32))], "rep long, n long, bands array<long>")
+    linker, seen = minhash._Linker(None, classes, 5, 80), []
+
+    def compared(near):
+        seen.extend(sorted(map(tuple, near.collect())))
+        return near.withColumn("linked", F.lit(True))
+
+    linker._compared = compared
+    linker._check(spark.createDataFrame([(1, 2), (1, 2), (1, 3), (1, 4)], "a long, b long"))
+    assert seen == [(1, 2), (1, 3)]
+
+
 # -- 9 lines
 
 

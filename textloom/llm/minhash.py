@@ -134,7 +134,7 @@ class _Linker:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, shingle: int, percent: int):
         self.docs, self.shingle, self.percent = docs, shingle, percent
-        self.facts = classes.where("rep is not null").select("rep", "n", "bands")
+        self.facts = classes.where("rep is not null").select("rep", "n")
         self.links: DataFrame | None = None
         self.comp: DataFrame | None = None
         self.sets: DataFrame | None = None
@@ -199,10 +199,9 @@ class _Linker:
             self.comp = written(components(self.links), "components")
 
     def _check(self, pairs: DataFrame) -> None:
-        """Compare pairs that sizes and a glance at the bands do not rule out."""
-        one, two = self.facts.toDF("a", "na", "ba"), self.facts.toDF("b", "nb", "bb")
-        agree = F.aggregate(F.zip_with("ba", "bb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        near = pairs.distinct().join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).where(agree >= 3).select("a", "b")
+        """Compare pairs that sizes do not rule out."""
+        one, two = self.facts.toDF("a", "na"), self.facts.toDF("b", "nb")
+        near = pairs.distinct().join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent).select("a", "b")
         self._link(written(self._compared(near).where("linked").select("a", "b"), "links"))
 
     def _prefixes(self, rest: DataFrame) -> DataFrame:
@@ -238,8 +237,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, t: int
 
     Words are runs of non-blanks, A-Z lower-cased.  Documents are linked at a Jaccard similarity of shingle sets of at
     least ``percent`` / 100, confirmed on the full sets (64-bit shingle hashes).  A pair at exactly 0.85 shares none of the
-    160 / 5 = 32 bands with probability 0.556**32 < 1e-8.  Pairs that are not compared through a leader (see ``_Linker``) are
-    passed over if they agree in fewer than 3 bands, which at 0.85 has probability < 3e-6 and at 0.8 < 4e-4.
+    160 / 5 = 32 bands with probability 0.556**32 < 1e-8, one at 0.8 with 0.672**32 < 4e-6; of pairs that share
+    one, only those are not compared that cannot link or change no component (see ``_Linker``).
 
     Equal sets are one class from the start, so copies cost one row each.  A null or empty text has no shingles and links
     with nothing.  Rows of one doc_id are one document.  A row without doc_id takes the smallest id of its class, if any,
