@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,24 +24,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, only where it is unset, a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``.  Only where it is unset and Spark runs in one process, as in
+    tests, a temporary folder is set; a cluster without it has no such folder, and then this fails."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Work tables of the scopes that are open, the innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Work tables written inside are removed at the end, but for those given to the function that this yields."""
+    mine: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scopes.append(mine)
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _scopes.remove(mine)
+        if _scopes:
+            _scopes[-1].extend(kept)
+        release(*(df for df in mine if all(df is not k for k in kept)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back.
 
-    The files outlive a lost executor and are removed when the driver ends."""
+    The files outlive a lost executor.  They are removed when the scope ends (``scratch``), or else when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
