@@ -173,6 +173,50 @@ def test_embedding_links(spark, block):
     assert egojoin.embedding_links(df.limit(0)).count() == 0
 
 
+def _linked(spark, rows, **how):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    return sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in egojoin.embedding_links(df, **how).collect())
+
+
+@pytest.mark.parametrize("block", [32_768, 9])
+def test_embedding_links_at_the_threshold(spark, block):
+    """Small integer vectors, of which many pairs have a cosine of exactly 0.9, and repeated ids and rows."""
+    rng = np.random.default_rng(1)
+    vecs = [(1, 0, 0, 0), (9, 3, 3, 1), (3, 9, 1, 3), (0, 2, 0, 0), (10, 0, 0, 0), (9, 1, 3, 3), (81, 27, 27, 9), (1, 3, 3, 9), (0, 0, 0, 5)] + [tuple(map(int, v)) for v in rng.integers(-9, 10, (60, 4)) if v.any()]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(4, [0.0, 0.0, 1.0, 0.0]), (4, [10.0, 0.0, 0.0, 0.0]), (2, [3.0, 9.0, 1.0, 3.0])]
+    f, want, exact = graph.Forest(), [0] * len(rows), 0
+    for a, (i, x) in enumerate(rows):
+        for b, (j, y) in enumerate(rows[:a]):
+            dot, size = int(np.dot(x, y)), int(np.dot(x, x)) * int(np.dot(y, y))
+            exact += dot > 0 and 100 * dot * dot == 81 * size
+            if dot > 0 and 100 * dot * dot >= 81 * size:
+                want[a] += 1
+                want[b] += 1
+                f.union(i, j)
+    assert exact >= 10
+    assert _linked(spark, rows, block=block) == sorted((i, n, f.find(i), f.find(i) == i) for (i, _), n in zip(rows, want, strict=True))
+
+
+def test_embedding_links_in_many_intervals(spark):
+    """Clusters and a common vector, in blocks of 50: the tree of intervals has several levels."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 24))
+    vecs = np.concatenate([c + 0.12 * rng.normal(size=(20, 24)) for c in centres] + [np.repeat(centres[:1], 150, 0), rng.normal(size=(250, 24))])
+    ids = rng.permutation(5 * len(vecs))[: len(vecs)].tolist()
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    f = graph.Forest()
+    for a, b in zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1))), strict=True):
+        f.union(ids[a], ids[b])
+    want = sorted((i, int(n) - 1, f.find(i), f.find(i) == i) for i, n in zip(ids, near.sum(1), strict=True))
+    assert _linked(spark, [(i, v.tolist()) for i, v in zip(ids, vecs, strict=True)], block=50) == want
+    boxes = [egojoin._leading(unit[a : a + 50], {}) for a in range(0, len(unit), 50)]
+    frame = spark.createDataFrame([(24, k << 24, x.min(0).tolist(), x.max(0).tolist()) for k, x in enumerate(boxes)], "dim int, block long, lo array<double>, hi array<double>")
+    got = {(r.a >> 24, r.b >> 24) for r in egojoin.interval_pairs(frame, float(np.sqrt(0.2))).collect()}
+    gap = lambda x, y: np.maximum(0, np.maximum(x.min(0) - y.max(0), y.min(0) - x.max(0)))
+    assert got == {(i, j) for i, x in enumerate(boxes) for j, y in enumerate(boxes) if i <= j and (gap(x, y) ** 2).sum() <= 0.2 + 1e-6}
+
+
 # -- 3 licences
 
 
