@@ -524,15 +524,15 @@ def test_simhash_of_lines():
         width = min(int(lines.gram_bytes(np.array([band]), 0.9)[0]), len(b))
         grams = [b[i : i + width] for i in range(len(b) - width + 1)]
         g = wh.hash_spans(np.frombuffer(b, np.uint8), np.arange(len(grams)), np.arange(len(grams)) + width, lower=False)
+        salt = wh.mix(wh.mix(np.array([band], np.uint64) + np.uint64(0x632BE59BD9B4E019)) + np.arange(1, lines.BLOCKS + 1, dtype=np.uint64))
         for j in range(lines.BLOCKS):
-            order = [(int(x) * (0x9E3779B97F4A7C15 * (2 * j + 1) & (1 << 64) - 1 | 1) & (1 << 64) - 1) >> lines._PLACE for x in g]
-            ranked = sorted(range(len(g)), key=lambda i: (order[i], i))
-            vote = sum((2 * (int(g[ranked[0]]) >> bit & 1) - 1 > 0) << bit for bit in range(64))
-            weighted = [sum((2 * (int(g[i]) >> bit & 1) - 1) * 2.0 ** -r for r, i in enumerate(ranked[:50])) > 0 for bit in range(64)]
-            assert vote == sum(int(x) << bit for bit, x in enumerate(weighted)) == int(g[ranked[0]])
-            salt = wh.mix(np.array([band], np.uint64) + np.uint64(0x632BE59BD9B4E019))
-            assert block[j] == wh.mix((np.array([vote], np.uint64) ^ salt) + np.uint64(0xD6E8FEB86659FD93 * (j + 1) & (1 << 64) - 1))[0]
-            assert place[j] == len(b[: ranked[0]].decode(errors="ignore"))
+            mine = sorted((int(x) >> lines._PLACE, i) for i, x in enumerate(g) if int(x) % (1 << lines._PLACE) % lines.BLOCKS == j)
+            assert (place[j] < 0) == (not mine)
+            if mine:
+                # weights 1, 1/2, 1/4, ... of the ranks' bits: the sum's sign, bit by bit
+                vote = sum((sum((2 * (x >> bit & 1) - 1) * 2.0**-r for r, (x, _) in enumerate(mine[:50])) > 0) << bit for bit in range(64 - lines._PLACE))
+                assert block[j] == wh.mix(np.array([vote << lines._PLACE], np.uint64) ^ salt[j : j + 1])[0]
+                assert place[j] == sum(c & 0xC0 != 0x80 for c in b[: mine[0][1]])
     n = np.arange(1, 3000)
     least = n - np.floor(n * (1 - 0.9) + 1e-9).astype(int)
     classes = lines.length_class(n, 0.9)

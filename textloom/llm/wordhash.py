@@ -42,6 +42,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of a text's bytes, and the factors that shift a difference of two of them back: a stretch [a, b) is told
+    by (sums[b] - sums[a]) * down[a], to be mixed."""
+    up, down = _power(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     up, down = _power(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
