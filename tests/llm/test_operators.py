@@ -253,6 +253,11 @@ def test_mixing(docs, none, spark):
     big = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("source"), F.lit(1).alias("mix_copy"))
     counts = {r.source: r["count"] for r in mixing.mix_sources(big, {"hot": 0.2, "s1": 0.8}, size=2.0).groupBy("source").count().collect()}
     assert set(counts) == {"hot", "s1"}
+    # extra columns may have any name that the operator might use itself
+    odd = big.where("doc_id < 300").withColumns({c: F.col("doc_id") + i for i, c in enumerate(["pieces", "cdf", "mix_n", "mix_source", "of", "key", "times", "copy", "order", "n", "w", "rate", "row", "mean"])})
+    out = mixing.mix_sources(odd, size=3.0).collect()
+    assert {c: {r[c] - r.doc_id for r in out} for c in ("pieces", "cdf", "mix_n", "mix_source", "key", "copy", "order", "mean")} == {c: {i} for i, c in [(0, "pieces"), (1, "cdf"), (2, "mix_n"), (3, "mix_source"), (5, "key"), (7, "copy"), (8, "order"), (13, "mean")]}
+    assert len(out) == sum(r.mix_copy == 1 for r in out) + sum(r.mix_copy > 1 for r in out) > 600
     assert abs(counts["hot"] / 40000 - 0.2) < 0.01 and abs(counts["s1"] / 40000 - 0.8) < 0.02
 
 
@@ -403,11 +408,48 @@ def test_addresses_without_digits_are_read(spark):
     rows += [(200, words(40)), (201, "so [at"), (202, "(dot)")]
     got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: got[i].spans for i in want} == want
+    # spelled out without brackets: the tagger alone finds these
+    spelled = {i: f"{w(4, 9)} at {w(5, 9)} dot {rnd.choice(['com', 'org', 'net'])}" for i in range(300, 360)}
+    more = [(i, f"{(left := words(rnd.randint(3, 20)))} {v} {words(12)}") for i, v in spelled.items()] + [(400 + i, f"{words(9)} at {words(2)} dot {words(1)} {words(5)}") for i in range(5)]
+    found = {r.doc_id: r.spans for r in pii.personal_data(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+    texts = dict(more)
+    right = sum(any(x.startswith("email:") and texts[i][int(x.split(":")[1]) : int(x.split(":")[2])] == v for x in found[i].split(",")) for i, v in spelled.items())
+    assert right >= 0.8 * len(spelled), right
     assert all(got[i].n_email == 0 for i in want) and all(got[i].spans == "" for i in (200, 201, 202))
     long = f"{'n' * 60} [at] {'h' * 60} [dot] com"
     assert pii.segments(f"{'x ' * 99}{long}{' x' * 99}")[0] <= (198, 198 + len(long)) and pii.segments("(at)" + "y" * 99 + "7") == [(0, 76), (79, 104)]
 
 
+def test_spans_are_merged_in_one_sweep():
+    rnd = random.Random(2)
+    for _ in range(200):
+        base = sorted((rnd.choice(pii.KINDS), a, a + rnd.randint(1, 9)) for a in rnd.sample(range(80), rnd.randint(0, 8)))
+        own = [(rnd.choice(pii.KINDS), a, a + rnd.randint(1, 12)) for a in rnd.choices(range(80), k=rnd.randint(0, 10))]
+        taken, extra = [(a, b) for _, a, b in base], []
+        for kind, a, b in sorted(own, key=lambda s: (s[1], -s[2])):
+            if all(b <= x or y <= a for x, y in taken):
+                extra.append((kind, a, b))
+                taken.append((a, b))
+        assert pii._merged(base, own) == sorted(base + extra, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+    many = [("ip", 20 * i, 20 * i + 9) for i in range(100_000)]
+    assert len(pii._merged(many, [("phone", 20 * i + 9, 20 * i + 18) for i in range(100_000)])) == 200_000
+
+
+def test_very_long_stretches_are_decoded_in_cuts():
+    """A text of half a million digits and numbers takes bounded memory, and a number is found wherever it stands."""
+    for stretch in ((3, 10, 9000), (0, 0, 4096), (1, 5, 4097), (2, 0, 100_000)):
+        cuts = list(pii._cuts(*stretch))
+        assert [c[3] for c in cuts[1:]] == [c[4] for c in cuts[:-1]] and cuts[0][3] == stretch[1] and cuts[-1][4] == stretch[2]
+        assert all(c[2] - c[1] <= pii.CUT and c[1] <= c[3] and c[4] <= c[2] for c in cuts)
+    rnd = random.Random(3)
+    tagger = pii.train([f"words here {rnd.randint(1, 9)} and there" for _ in range(50)])
+    value = "(212) 555-0187"
+    text = " ".join(f"12 {'x' * rnd.randint(1, 9)} {value}" for _ in range(3000))
+    (spans,) = pii.tagged_spans(tagger, [text])
+    right = sum(text[a:b] == value for _, a, b in spans)
+    assert right >= 0.9 * 3000 and len(set(spans)) == len(spans)
+
+
 # -- 7 passages
 
 
@@ -470,6 +512,36 @@ def test_keep_one(docs, rows):
     assert sum(r.doc_id is None for r in kept) == 2
 
 
+def test_keep_one_of_an_id_with_several_texts(spark):
+    rows = [(1, "a b c d e f g", 1), (1, "other words that stand here now", 2), (1, "a b c d e f g", 1), (2, "a b c d e f g", 3), (3, "h i j k l m n", 4), (None, "x", 5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, rows long").withColumn("hash", F.lit(0)).withColumn("id", F.lit("z"))
+    hashes = {r.text: r.h for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    for n in (1, 4):
+        out = minhash.keep_one(frame.repartition(n))
+        assert out.columns == frame.columns
+        assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "x"), (1, min(rows[0][1], rows[1][1], key=hashes.get)), (3, rows[4][1])]
+
+
+def test_recall_on_a_table(spark):
+    """Links of the driver's small table against all pairs of shingle sets at 0.8, with five words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    sets = {}
+    for r in rows:
+        w = BLANKS.findall(_lower(r.text or ""))
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    f, ids = graph.Forest(), sorted(sets)
+    for i in ids:
+        for j in ids:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                f.union(i, j)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    linked = [i for i in ids if f.find(i) != i]
+    assert len(linked) >= 5
+    assert sum(got[i] == f.find(i) for i in linked) >= 0.99 * len(linked)
+    assert all(got[i] == i for i in ids if f.find(i) == i)
+
+
 def test_pairs_that_agree_in_few_bands_are_compared(spark):
     """Only sizes rule a pair out before its sets are compared."""
     band = lambda i, same: [k if k < same else 100 * i + k for k in range(32)]
@@ -547,6 +619,23 @@ def _edited(rnd, line, edits):
     return "".join(out)
 
 
+def test_edit_distances():
+    rnd = random.Random(12)
+    for _ in range(600):
+        one = "".join(rnd.choice("abż") for _ in range(rnd.randint(0, 40)))
+        two = _edited(rnd, one, rnd.randint(0, 9)) if len(one) > 9 and rnd.random() < 0.9 else "".join(rnd.choice("abż") for _ in range(rnd.randint(0, 40)))
+        want = _distance(one, two)
+        assert lines.edit_distance(one, two) == want
+        for most in (0, 1, 3, 7, 20):
+            assert lines._near_by_diagonals(one, two, most) == (want <= most), (one, two, most)
+        for similarity in (0.9, 0.7, 0.5):
+            assert lines.near(one, two, similarity) == (want <= int(max(len(one), len(two)) * (1 - similarity) + 1e-9))
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(900))
+    for edits in (10, 30, 60, 200):
+        two = _edited(rnd, long, edits)
+        assert lines.near(long, two, 0.95) == (_distance(long, two) <= int(max(len(long), len(two)) * 0.05 + 1e-9))
+
+
 def test_recall_of_near_equal_lines():
     """Of pairs of lines of 3 to 20 words at an edit similarity of 0.9 or more, at least nine in ten meet in a block, and what is
     asked before the edit distance turns none of those away that an alignment through the shared gram allows."""
@@ -612,9 +701,9 @@ def test_dedup_lines_against_brute_force(spark, monkeypatch, part):
 def test_a_very_long_line_and_text(spark):
     word = "".join(chr(97 + i % 23) for i in range(50))
     long = " ".join(f"{word[i % 40 :]}{i}" for i in range(4_000))
-    rows = [(1, long), (2, long.replace("a40", "b40")), (3, "\n".join(f"line {i} of many that differ {i * 7919}" for i in range(30_000)))]
+    rows = [(1, long), (2, long.replace("a40", "b40")), (3, "\n".join(f"line {i} of many that differ {i * 7919}" for i in range(3_000)))]
     out = {r.doc_id: (r.n_lines, r.n_kept) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out[1] == (1, 1) and out[2] == (1, 0) and out[3][0] == 30_000
+    assert out[1] == (1, 1) and out[2] == (1, 0) and out[3][0] == 3_000
 
 
 def test_near_equal_lines_are_linked_in_any_table(spark):
@@ -654,6 +743,14 @@ def test_wavelet_matrix():
         f.access(5000)
 
 
+def test_occurrences_against_brute_force():
+    rng = np.random.default_rng(6)
+    ids = rng.zipf(1.3, 5000).clip(0, 900).astype(np.uint32)
+    file = wavelet.WaveletFile(wavelet.encode(ids, np.array([5000]), [1]))
+    for token in (0, 1, 2, 7, 899, 900, 901):
+        assert file.occurrences(token) == np.flatnonzero(ids == token).tolist()
+
+
 def test_token_files(docs, rows, none, spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -53,6 +53,16 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(*forest.edges())
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of a graph of at most ``LAST`` edges, and the smallest that it is connected with."""
+    forest = Forest()
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.union(a, b)
+    nodes = list(forest.parent)
+    yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array([forest.find(x) for x in nodes], pa.int64())], names=["node", "to"])
+
+
 def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -64,16 +74,23 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(np.concatenate([a, b]), np.concatenate([b, a]))
 
 
+#: Edges up to which one task finishes what is left.
+LAST = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b, long) -> (node, component): the smallest node reachable; nodes without an edge are absent.
 
     Each partition's edges are first reduced to a spanning forest.  Then, round by round, every node points to its
     neighbour of least hash (random contraction), the graph is contracted along these pointers, and the number of nodes
-    shrinks by a constant factor, whatever the diameter.  Pointers are followed back at the end.  Tables of a round are
-    written to the shared folder."""
+    shrinks by a constant factor, whatever the diameter; the last ``LAST`` edges are settled in one task.  Pointers are
+    followed back at the end.  Tables of a round are written to the shared folder."""
     now = written(edges.where("a <> b").mapInArrow(_forest, "a long, b long"), "edges")
     steps: list[DataFrame] = []
     while not now.isEmpty():
+        if now.limit(LAST + 1).count() <= LAST:
+            steps.append(written(now.coalesce(1).mapInArrow(_settled, "node long, to long"), "pointers"))
+            break
         both = now.union(now.select("b", "a"))
         # the least (hash, id) among a node and its neighbours
         least = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id"))).alias("m"))
