@@ -24,7 +24,7 @@ def source_rates(docs: DataFrame, targets: Mapping[str, float] | None = None, si
 
     The output's expected size is ``size`` times the input's rows, shared out by weight: ``targets`` by source (sources not
     named get none), or each source's number of rows to the power ``alpha``."""
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.groupBy(F.col("source")).agg(F.count(F.lit(1)).alias("n"))
     if targets is None:
         weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(alpha)))
     else:
@@ -40,7 +40,8 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, siz
     The draw inverts the distribution function at a uniform number hashed from the seed and doc_id (from the text where
     doc_id is null), so runs repeat and equal rows get equal counts.  Adds ``mix_copy`` (from 1) and ``mix_order``, a hash by
     which rows are dealt over partitions and sorted in each; read in the order of partitions, any prefix is a fair sample.
-    A null source is a source of its own.  Other columns pass through; columns of the two added names are replaced.
+    A null source is a source of its own; a null or empty text is mixed like any other, and an empty table gives none.  Other
+    columns pass through whatever their names; only columns of the two added names are replaced.
 
     One pass counts rows by source (pre-aggregated, so a source with a third of all rows costs no more); the second explodes
     and shuffles by a uniform key.  Text moves once."""
@@ -53,16 +54,19 @@ def mix_sources(docs: DataFrame, targets: Mapping[str, float] | None = None, siz
         lambda s, k: F.struct((s["term"] * F.col("mean") / k).alias("term"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + s["term"] * F.col("mean") / k)).alias("cdf")),
         lambda s: s["cdf"],
     )
-    table = rates.select(F.col("source").alias("mix_source"), "pieces", grown.alias("cdf"))
-    if table.select("mix_source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    table = rates.select(F.col("source").alias("of"), "pieces", grown.alias("cdf"))
+    if table.select("of").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
-    draws = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda i: _uniform(F.lit(seed), key, i.cast("string")))
-    n = F.aggregate(draws, F.lit(0), lambda s, u: s + F.size(F.filter("cdf", lambda c: c < u)))
-    drawn = docs.join(table, docs["source"].eqNullSafe(F.col("mix_source"))).where("pieces > 0").withColumn("mix_n", n).where("mix_n > 0")
-    copies = drawn.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-    ordered = copies.withColumn("mix_order", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), key, F.col("mix_copy").cast("string"))))
-    return ordered.select(*[f"`{c}`" for c in docs.columns], "mix_copy", "mix_order").repartition("mix_order").sortWithinPartitions("mix_order")
+    # the row travels as one struct, so that none of its columns can be taken for one of these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col("row.text"), F.lit("")))))
+    draws = F.transform(F.sequence(F.lit(1), F.col("pieces")), lambda i: _uniform(F.lit(seed), F.col("key"), i.cast("string")))
+    times = F.aggregate(draws, F.lit(0), lambda s, u: s + F.size(F.filter("cdf", lambda c: c < u)))
+    drawn = rows.join(table, F.col("row.source").eqNullSafe(F.col("of"))).where("pieces > 0").withColumn("key", key).withColumn("times", times).where("times > 0")
+    copies = drawn.select("row", "key", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.col("key"), F.col("copy").cast("string")))
+    dealt = copies.select("row", "copy", order.alias("order")).repartition("order").sortWithinPartitions("order")
+    return dealt.select("row.*", F.col("copy").alias("mix_copy"), F.col("order").alias("mix_order"))
 
 
 #: ``mix_sources`` with its defaults, for DuckDB.
