@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import documents_view, map_arrow, release, text_steps, written
+from .common import documents_view, map_arrow, release, scratch, text_steps, written
 from .graph import components
 
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -242,27 +242,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, t: int
 
     Equal sets are one class from the start, so copies cost one row each.  A null or empty text has no shingles and links
     with nothing.  Rows of one doc_id are one document.  A row without doc_id takes the smallest id of its class, if any,
-    and is never the one kept."""
+    and is never the one kept.  A very long text is one set; an empty table gives an empty result; other columns are not
+    read."""
     docs = documents_view(docs)
-    signs = written(map_arrow(docs, partial(_signatures, k=shingle, t=t, rows=rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "signatures")
-    filled = signs.where("n_shingles > 0")
-    classes = written(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    named = classes.where("rep is not null")
-    keys = named.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    comp = _Linker(docs, classes, shingle, percent).run(keys)
-    if comp is not None:
-        named_comp = classes.join(comp.toDF("rep", "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        named_comp = classes.select("h1", "h2", F.col("rep").alias("component_id"))
-    named_comp = written(named_comp, "named")
+    with scratch() as keep:
+        signs = keep(written(map_arrow(docs, partial(_signatures, k=shingle, t=t, rows=rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"), "signatures"))
+        filled = signs.where("n_shingles > 0")
+        classes = written(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
+        keys = classes.where("rep is not null").select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+        comp = _Linker(docs, classes, shingle, percent).run(keys)
+        if comp is not None:
+            named = classes.join(comp.toDF("rep", "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
+        else:
+            named = classes.select("h1", "h2", F.col("rep").alias("component_id"))
+        named = keep(written(named, "named"))
     alone = signs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = filled.select("doc_id", "n_shingles", "h1", "h2").join(named_comp, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id").union(alone)
+    out = filled.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "n_shingles", "component_id").union(alone)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without near-duplicates: of each group the document of smallest doc_id
-    stays, once, however often it is repeated.  Rows without doc_id cannot be told apart by it and stay."""
-    kept = near_duplicates(docs, shingle, percent).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where("doc_id is null"))
+    stays, once, however often it is repeated.  Where rows of one doc_id differ in text, the text of least hash stays.  Rows
+    without doc_id cannot be told apart by it and stay.  Cases otherwise as in ``near_duplicates``."""
+    names = [f"`{c}`" for c in docs.columns]
+    with scratch() as keep:
+        groups = near_duplicates(docs, shingle, percent)
+        kept = keep(written(groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("kept").select("doc_id", "rows"), "kept"))
+    out = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*names)
+    often = kept.where("rows > 1").select("doc_id")
+    if not often.isEmpty():
+        several = docs.join(often, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.xxhash64(F.col("text")).alias("hash"), F.struct(*names).alias("row"))
+        least = several.groupBy("id").agg(F.min("hash").alias("hash"))
+        out = out.union(several.join(least, ["id", "hash"]).dropDuplicates(["id"]).select("row.*"))
+    return out.union(docs.where("doc_id is null").select(*names))
