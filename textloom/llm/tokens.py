@@ -19,6 +19,8 @@ from .common import documents_view, map_arrow, shared_dir, text_steps
 
 #: Tokens after which a file is closed (a document stays whole), pieces a worker keeps, and bits of a table of slots.
 FILE_TOKENS, CACHE, SLOTS = 2_000_000, 1_500_000, 21
+#: Bytes of text of a shard, about, and shards whose totals add up in one group.
+SHARD_BYTES, GROUP = 12 << 20, 1024
 
 
 def _classes() -> np.ndarray:
@@ -215,27 +217,31 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([shard] * n, pa.int32()), pa.array([segment] * n, pa.int32()), pa.array(file.doc_ids, pa.int64()), pa.array(cuts[:-1], pa.int64()), pa.array(file.counts), pa.array(sums, pa.int64())], names=["shard", "segment", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 1, rows_per_shard: int = 4096) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int = 1, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode ``docs`` (doc_id, text) and write wavelet-matrix files, in ascending order of (doc_id, text).
 
     Each row of the Parquet table at ``path`` holds one whole file in ``content``, under (shard, segment) in the order of the
     documents, and goes wherever Spark writes.  A null text counts as empty, and so as the end id alone; rows without doc_id
-    come first; repeated rows are written as often as they come.  Documents are dealt out by ranges of doc_id."""
+    come first; repeated rows are written as often as they come; a very long text stays whole in one file; an empty table
+    gives no file.  Documents are dealt out by ranges of that order (of texts, by their beginning), about ``shard_bytes`` of
+    text each, so that one doc_id may have many texts."""
     docs = documents_view(docs)
-    shards = max(1, -(-docs.count() // rows_per_shard))
-    laid = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    laid = docs.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     map_arrow(laid, partial(_files, path=tokenizer, end=end), "shard int, segment int, n_tokens long, content binary").write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files at ``path``.
 
-    Starts add up by shard and then within each; only one row for each shard meets in one task."""
+    Starts add up by groups of ``GROUP`` shards, by shard and within each; only one row for each group meets in one task."""
     files = spark.read.parquet(path)
-    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    bases = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    totals = files.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("group", F.floor(F.col("shard") / GROUP).cast("int"))
+    before = lambda w: F.sum("n").over(w) - F.col("n")
+    groups = totals.groupBy("group").agg(F.sum("n").alias("n")).select("group", before(Window.orderBy("group")).alias("group_base"))
+    bases = totals.select("shard", "group", before(Window.partitionBy("group").orderBy("shard")).alias("shard_base")).join(groups, "group")
     inner = files.select("shard", "segment", (F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("segment")) - F.col("n_tokens")).alias("inner"))
-    starts = inner.join(bases, "shard").select("shard", "segment", (F.col("base") + F.col("inner")).alias("base"))
+    starts = inner.join(bases, "shard").select("shard", "segment", (F.col("group_base") + F.col("shard_base") + F.col("inner")).alias("base"))
     decoded = map_arrow(files.select("shard", "segment", "content"), _documents, "shard int, segment int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return decoded.join(starts, ["shard", "segment"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

@@ -130,17 +130,20 @@ class WaveletFile:
         i = a + k
         for level in range(len(self.planes) - 1, -1, -1):
             one = rank >> (len(self.planes) - 1 - level) & 1
-            i = self._find(self.planes[level], i - self.planes[level][0] if one else i, bool(one))
+            i = self._find(level, i - self.planes[level][0] if one else i, bool(one))
         return i
 
-    def _find(self, plane: tuple[int, np.ndarray, np.ndarray], k: int, one: bool) -> int:
-        """Position of the k-th one or zero of a plane."""
-        ranks = plane[1].astype(np.int64)
-        if not one:
-            ranks = np.minimum(np.arange(len(ranks), dtype=np.int64) * _BLOCK, self.n) - ranks
-        block = int(np.searchsorted(ranks, k, side="right")) - 1
+    @cached_property
+    def _zero_ranks(self) -> list[np.ndarray]:
+        """Zeros before each block, plane by plane."""
+        return [np.minimum(np.arange(len(ranks), dtype=np.int64) * _BLOCK, self.n) - ranks for _, ranks, _ in self.planes]
+
+    def _find(self, level: int, k: int, one: bool) -> int:
+        """Position of the k-th one or zero of a plane: a binary search over blocks, then one block's bits."""
+        ranks = self.planes[level][1] if one else self._zero_ranks[level]
+        block = int(np.searchsorted(ranks, ranks.dtype.type(k), side="right")) - 1
         first = block * (_BLOCK // 8)
-        bits = np.unpackbits(plane[2][first : first + _BLOCK // 8], bitorder="little")[: min(_BLOCK, self.n - block * _BLOCK)]
+        bits = np.unpackbits(self.planes[level][2][first : first + _BLOCK // 8], bitorder="little")[: min(_BLOCK, self.n - block * _BLOCK)]
         return block * _BLOCK + int(np.flatnonzero(bits == int(one))[k - int(ranks[block])])
 
     def occurrences(self, token: int) -> list[int]:
