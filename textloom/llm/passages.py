@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
-from .common import map_arrow, release, text_steps, written
+from .common import map_arrow, release, scratch, text_steps, written
 
 #: Words of a window's anchor; passages in an automaton; documents that one copy of an automaton serves.
 ANCHOR, SHARD, SERVED = 8, 20_000, 2_000
@@ -176,23 +176,9 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
         yield pa.record_batch([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in rows[2]], pa.string()), pa.array([x.decode() for x in rows[2]], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text) for every row of ``docs`` (doc_id, text).
-
-    A word goes if a window of ``window`` consecutive words that covers it also starts earlier, in a document of smaller
-    doc_id or earlier in the same one; kept words are joined by one blank.  Words are runs of non-blanks, unchanged.  A null
-    text has no words.  Rows without doc_id come after all others.  Rows equal in doc_id and text are one document; rows of
-    one doc_id and different texts are ordered by a hash of the text.
-
-    Texts go by a 64-bit hash; of copies, all but the one of smallest doc_id go at once.  Anchors (one in about seven words)
-    that two texts share select the windows worth counting; windows are counted by hash, and each recurring one belongs to
-    its first place.  Owners are dealt into shards, whose automata hold their windows word by word, and every document that
-    shares a window is searched by its owners' automata; where many documents share, the automaton is copied.  Hashes only
-    choose candidates: the automata compare words.  Nothing is gathered by passage, so a passage in a third of all documents
-    is one row with a count."""
+def _repeats(rows: DataFrame, full: DataFrame, window: int) -> DataFrame:
+    """(k1, rep, found) for every text: its first document, and the stretches of words that go."""
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k1", F.xxhash64("text"))
-    full = rows.where(F.length("text") >= 2 * window - 1)
     classes = written(rows.groupBy("k1").agg(F.min(order).alias("rep")), "classes")
 
     anchors = written(map_arrow(full.select("k1", "text"), partial(_emit_anchors, window=window), "k1 long, anchor long, twice boolean"), "anchors")
@@ -200,7 +186,10 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     marks = written(anchors.join(recurring, "anchor", "left_semi").select("k1", "anchor").distinct().groupBy("k1").agg(F.collect_list("anchor").alias("anchors")), "marks")
     release(anchors, recurring)
 
-    marked = full.select("k1", "text").join(marks.join(classes, "k1").select("k1", F.col("rep.doc_id").alias("doc_id"), "anchors"), "k1").select("k1", "doc_id", "text", "anchors")
+    # of a text's copies only its first document is read on; the others part from it by their doc_id
+    first = lambda plan: plan.join(classes, "k1").withColumn("first", F.col("rep.doc_id")).drop("rep").withColumnRenamed("k1", "key")
+    joined = lambda plan: full.select("k1", "doc_id", "text").join(plan, (F.col("k1") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("first")))
+    marked = joined(written(first(marks), "marked")).select("k1", "doc_id", "text", "anchors")
     windows = written(map_arrow(marked, partial(_emit_windows, window=window), "h long, k1 long, doc_id long, start int, twice boolean"), "windows")
     release(marks)
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("k1").alias("k1"), F.col("start").alias("start"))
@@ -214,15 +203,35 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     parts = written(routes.groupBy("shard").agg(F.ceil(F.count("k1") / SERVED).cast("int").alias("parts")), "parts")
     owned = firsts.groupBy("owner").agg(F.collect_list("start").alias("starts")).withColumn("shard", shard).join(parts, "shard").select(F.col("owner").alias("k1"), "shard", "parts", "starts")
     dealt = routes.join(parts, "shard").select("k1", F.struct("shard", F.pmod(F.xxhash64("k1"), F.col("parts")).cast("int").alias("part")).alias("route")).groupBy("k1").agg(F.collect_list("route").alias("routes"))
-    plan = written(owned.join(dealt, "k1", "full"), "plan")
+    plan = written(first(owned.join(dealt, "k1", "full")), "plan")
     release(firsts, routes)
 
-    texts = full.select("k1", "text").join(plan, "k1").select("k1", "text", "shard", "parts", "starts", "routes")
+    texts = joined(plan).select("k1", "text", "shard", "parts", "starts", "routes")
     streams = map_arrow(texts, _deal, "shard long, part int, tail boolean, k1 long, text string, starts array<int>")
     streams = streams.repartition("shard", "part").sortWithinPartitions("shard", "part", "tail")
     found = written(map_arrow(streams, partial(_search, window=window), "k1 long, ranges array<int>"), "ranges")
     release(plan, parts)
-    known = written(classes.join(found.distinct().groupBy("k1").agg(F.collect_list("ranges").alias("found")), "k1", "left"), "known")
+    return written(classes.join(found.distinct().groupBy("k1").agg(F.collect_list("ranges").alias("found")), "k1", "left"), "known")
+
+
+def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text) for every row of ``docs`` (doc_id, text).
+
+    A word goes if a window of ``window`` consecutive words that covers it also starts earlier, in a document of smaller
+    doc_id or earlier in the same one; kept words are joined by one blank.  Words are runs of non-blanks, unchanged.  A null
+    text has no words.  An empty table gives none; a very long text is searched as one.  Rows without doc_id come after all others.  Rows equal in doc_id and text are one document; rows of
+    one doc_id and different texts are ordered by a hash of the text.
+
+    Texts go by a 64-bit hash; of copies, all but the one of smallest doc_id go at once.  Anchors (one in about seven words)
+    that two texts share select the windows worth counting; windows are counted by hash, and each recurring one belongs to
+    its first place.  Owners are dealt into shards, whose automata hold their windows word by word, and every document that
+    shares a window is searched by its owners' automata; where many documents share, the automaton is copied.  Hashes only
+    choose candidates: the automata compare words.  Nothing is gathered by passage, so a passage in a third of all documents
+    is one row with a count."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k1", F.xxhash64("text"))
+    full = rows.where(F.length("text") >= 2 * window - 1)
+    with scratch() as keep:
+        known = keep(_repeats(rows, full, window))
     # a row that is not its text's first document is a copy
     final = rows.join(known, "k1").select("doc_id", "text", (~F.col("doc_id").eqNullSafe(F.col("rep.doc_id"))).alias("copy"), "found")
     return map_arrow(final, partial(_cut, window=window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
