@@ -97,7 +97,7 @@ class Tagger:
             grads["e" + way], grads["u" + way] = d_table, d_u
         return loss, grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 250, batch: int = 64, rate: float = 0.02, seed: int = 6) -> list[float]:
+    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 64, rate: float = 0.02, seed: int = 6) -> list[float]:
         """Adam over random batches of labelled windows."""
         rng = np.random.default_rng(seed)
         m, v, losses = {k: np.zeros_like(p) for k, p in self.p.items()}, {k: np.zeros_like(p) for k, p in self.p.items()}, []

@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,13 @@ from .common import documents_view, map_arrow, text_steps
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Characters that the tagger reads around a digit, and around an @ or a bracketed "at" or "dot" (a local part has up to 64,
+#: Characters that the tagger reads around a digit, and around an @, a bracketed "at" or "dot", or a "dot" between blanks (a local part has up to 64,
 #: a domain's label 63), window length and stride, and windows decoded at once.
 AROUND, ADDRESS, WINDOW, STRIDE, GROUP = 24, 72, 64, 32, 512
+#: Characters of a stretch that are decoded at once, and how many of these two neighbouring cuts share.
+CUT, SHARED = 4096, 256
 #: Bounds of the training sample: documents with digits or @ read for it, windows cut from them, and made-up windows.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS, MADE_UP = 600, 20_000, 1500, 2500
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS, MADE_UP = 600, 20_000, 1500, 3000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -32,7 +36,10 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _SPELLED_OUT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[(]at[\])]\s?[A-Za-z0-9-]{1,63}(?:\s?[\[(]dot[\])]\s?[A-Za-z0-9-]{1,63})*\s?[\[(]dot[\])]\s?[A-Za-z]{2,63}")
-_SEED = re.compile(r"[0-9]+|@+|[\[(](?:at|dot)[\])]")
+_SEED = re.compile(r"[0-9]+|@+|[\[(](?:at|dot)[\])]|(?<= )dot(?= )")
+#: How "@" and "." may be written in an address.
+_AT, _DOT = r"(?:\s?(?:@|[\[(]at[\])])\s?| at )", r"(?:\s?(?:\.|[\[(]dot[\])])\s?| dot )"
+_ADDRESS = re.compile(rf"[^\s@]+{_AT}[^\s@]+?(?:{_DOT}[^\s@]+?)*{_DOT}[A-Za-z]{{2,}}")
 
 Span = tuple[str, int, int]
 
@@ -129,12 +136,15 @@ def _made_up(rng: random.Random) -> tuple[str, str | None]:
     """A value and its kind, or a look-alike that is none."""
     d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     w = lambda a, b: "".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(a, b)))
-    pick = rng.randrange(14)
+    pick = rng.randrange(17)
     if pick < 2:
         local = rng.choice([w(2, 10), w(2, 7) + rng.choice("._-") + w(2, 7), w(2, 8) + d(2), w(2, 8) + "." + d(2)])
         at, dot = rng.choice([("@", "."), ("@", "."), (" @ ", "."), ("@", " . "), (" [at] ", " [dot] "), (" (at) ", " (dot) ")])
         end = dot.join([w(3, 9) + rng.choice(["", d(1)]), rng.choice(["com", "org", "net", "example" + dot + "com"])])
         return local + at + end, "email"
+    if pick >= 14:  # spelled out
+        local = rng.choice([w(2, 10), w(2, 10), w(2, 7) + rng.choice("._-") + w(2, 7)])
+        return f"{local} at {' dot '.join([w(3, 9) for _ in range(rng.choice([1, 1, 1, 2]))] + [rng.choice(['com', 'org', 'net', 'edu'])])}", "email"
     if pick < 4:
         dot = rng.choice([".", ".", ".", " . ", "[.]"])
         return dot.join(str(rng.randint(0, 255)) for _ in range(4)), "ip"
@@ -191,7 +201,7 @@ def _plausible(kind: str, value: str) -> bool:
     """What a tagged stretch must hold to count: the tagger proposes, digits and signs decide."""
     n = len(_digits(value))
     if kind == "email":
-        return re.fullmatch(r"\S+\s?(?:@|[\[(]at[\])])\s?\S+(?:\s?(?:\.|[\[(]dot[\])])\s?[A-Za-z]{2,})+", value) is not None
+        return _ADDRESS.fullmatch(value) is not None and (" at " not in value or "dot" in value)
     if kind == "ip":
         parts = re.split(r"\s?\[?\.\]?\s?", value)
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -200,6 +210,19 @@ def _plausible(kind: str, value: str) -> bool:
     return re.fullmatch(r"[+(]?[0-9][ ().0-9-]*[0-9]", value) is not None and 9 <= n <= 15 and re.search(r"[ ().-]", value) is not None and not re.match(r"(?:19|20)[0-9]{2}-", value)
 
 
+def _cuts(i: int, a: int, b: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """A stretch of text ``i``, cut where it is long: (i, start, end, and between which places spans may begin), so that every
+    span is reported by the one cut in whose middle it begins."""
+    if b - a <= CUT:
+        yield i, a, b, a, b
+        return
+    step = CUT - SHARED
+    starts = range(a, b - SHARED, step)
+    for n, x in enumerate(starts):
+        y = min(b, x + CUT)
+        yield i, x, y, x + SHARED // 2 if n else a, b if n == len(starts) - 1 else y - SHARED // 2
+
+
 def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
     """Spans the tagger finds, and addresses with both signs bracketed, which are certain.  Stretches are cut into overlapping
     windows; the windows' emissions are averaged where they overlap, and each stretch is decoded as a whole, so a span across
@@ -208,27 +231,26 @@ def tagged_spans(tagger: Tagger, texts: list[str]) -> list[list[Span]]:
     out: list[list[Span]] = [[] for _ in texts]
     if not where:
         return out
-    where.sort(key=lambda x: x[2] - x[1])
-    for g in range(0, len(where), GROUP):
-        group = where[g : g + GROUP]
-        longest = group[-1][2] - group[-1][1]
-        if longest > 64 * WINDOW:  # bounded memory: very long stretches one at a time
-            for one in group:
-                _decode(tagger, texts, [one], out)
-        else:
-            _decode(tagger, texts, group, out)
+    cuts = sorted((cut for stretch in where for cut in _cuts(*stretch)), key=lambda c: c[2] - c[1])
+    for g in range(0, len(cuts), GROUP):
+        _decode(tagger, texts, cuts[g : g + GROUP], out)
     for i, a, b in where:
         for m in _SPELLED_OUT.finditer(texts[i], a, b):
             out[i] = [s for s in out[i] if s[2] <= m.start() or m.end() <= s[1]] + [("email", *m.span())]
     return out
 
 
-def _decode(tagger: Tagger, texts: list[str], group: list[tuple[int, int, int]], out: list[list[Span]]) -> None:
-    longest = max(b - a for _, a, b in group)
+def _decode(tagger: Tagger, texts: list[str], group: list[tuple[int, int, int, int, int]], out: list[list[Span]]) -> None:
+    longest = max(b - a for _, a, b, _, _ in group)
     cuts = list(range(0, max(1, longest - WINDOW + STRIDE), STRIDE))
     width = cuts[-1] + WINDOW
+    if len(group) > 1 and len(group) * width > GROUP * 8 * WINDOW:  # bounded memory, whatever the stretches
+        half = len(group) // 2
+        _decode(tagger, texts, group[:half], out)
+        _decode(tagger, texts, group[half:], out)
+        return
     x = np.zeros((len(group), width), np.uint8)
-    for r, (i, a, b) in enumerate(group):
+    for r, (i, a, b, _, _) in enumerate(group):
         x[r, : b - a] = view(texts[i][a:b])
     em, times = np.zeros((len(group), width, tagger.tags), np.float32), np.zeros(width, np.float32)
     for cut in cuts:
@@ -240,27 +262,31 @@ def _decode(tagger: Tagger, texts: list[str], group: list[tuple[int, int, int]],
     em[x == 0] = -1e4
     em[x == 0, 0] = 0
     paths = tagger.decode(em)
-    for (i, a, b), path in zip(group, paths, strict=True):
-        tags, at = path[: b - a], 0
-        for at in np.flatnonzero((tags % 2 == 1)):
-            k, end = int(tags[at]) // 2, int(at) + 1
-            while end < len(tags) and tags[end] == 2 * k + 2:
-                end += 1
+    for (i, a, b, low, high), path in zip(group, paths, strict=True):
+        tags = path[: b - a]
+        outside = np.flatnonzero(tags == 0)
+        for at in np.flatnonzero(tags % 2 == 1).tolist():
+            if not low <= a + at < high:
+                continue
+            k = int(tags[at]) // 2
+            inside = tags[at + 1 : int(outside[np.searchsorted(outside, at)]) if len(outside) and outside[-1] > at else len(tags)] == 2 * k + 2
+            end = at + 1 + (int(np.argmin(inside)) if not inside.all() else len(inside))
             value = texts[i][a + at : a + end]
             trimmed = value.strip(" .,;:%!-\n")
-            start = a + int(at) + value.find(trimmed) if trimmed else a
+            start = a + at + value.find(trimmed) if trimmed else a
             if trimmed and _plausible(KINDS[k], trimmed):
                 out[i].append((KINDS[k], start, start + len(trimmed)))
 
 
 def _merged(base: list[Span], own: list[Span]) -> list[Span]:
-    """Base spans, and those of the tagger that touch none of them nor each other."""
+    """Base spans, and those of the tagger that touch none of them nor each other: one sweep over both in order."""
     taken = sorted((a, b) for _, a, b in base)
+    starts, furthest = [a for a, _ in taken], [0, *accumulate((b for _, b in taken), max)]
     extra: list[Span] = []
     for kind, a, b in sorted(own, key=lambda s: (s[1], -s[2])):
-        if all(b <= x or y <= a for x, y in taken):
+        # of the base spans that begin before this one ends, none may end behind its start
+        if furthest[bisect_left(starts, b)] <= a and (not extra or extra[-1][2] <= a):
             extra.append((kind, a, b))
-            taken.append((a, b))
     return sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
@@ -275,8 +301,12 @@ _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def _seeds(data: np.ndarray) -> np.ndarray:
-    """Where bytes are digits or @, or a bracketed "at" or "dot" begins."""
+    """Where bytes are digits or @, or a bracketed "at" or "dot" begins, or a "dot" between blanks."""
     seeds = _SEEDS[data]
+    spelled = np.flatnonzero(data[:-4] == 32)
+    for k, c in enumerate(b"dot ", 1):
+        spelled = spelled[data[spelled + k] == c]
+    seeds[spelled] = True
     opened = np.flatnonzero(_OPEN[data])
     for word in (b"at", b"dot"):
         at = opened[opened + len(word) + 1 < len(data)]
@@ -318,8 +348,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     Base spans are the leftmost non-overlapping matches of each kind's pattern that pass its check; counts and the digest are
     of these.  ``spans`` adds what the tagger finds elsewhere (numbers without a plus, other separators, spelled-out signs),
     where it passes the kind's check as well.  Whole texts are searched; the tagger reads all stretches around digits, @ and
-    bracketed "at" and "dot", outside of which none of the kinds can stand; addresses with both signs bracketed are found
-    by their pattern.  A null or empty text has no spans.  Repeated rows get equal results."""
+    bracketed "at" and "dot" and "dot" between blanks, outside of which none of the kinds can stand; addresses with both signs
+    bracketed are found by their pattern.  A null or empty text has no spans.  Repeated rows get equal results, and rows without
+    doc_id theirs; other columns are not read; an empty table gives none.  Very long stretches are decoded in cuts that overlap."""
     docs = documents_view(docs)
     tagger = fit_tagger(docs)
     return map_arrow(docs, partial(_found, tagger=tagger), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
