@@ -435,8 +435,8 @@ def test_spans_are_merged_in_one_sweep():
     assert len(pii._merged(many, [("phone", 20 * i + 9, 20 * i + 18) for i in range(100_000)])) == 200_000
 
 
-def test_very_long_stretches_are_decoded_in_cuts():
-    """A text of half a million digits and numbers takes bounded memory, and a number is found wherever it stands."""
+def test_very_long_stretches_are_decoded_in_cuts(monkeypatch):
+    """A long stretch gives the same spans in cuts of bounded size as in one piece."""
     for stretch in ((3, 10, 9000), (0, 0, 4096), (1, 5, 4097), (2, 0, 100_000)):
         cuts = list(pii._cuts(*stretch))
         assert [c[3] for c in cuts[1:]] == [c[4] for c in cuts[:-1]] and cuts[0][3] == stretch[1] and cuts[-1][4] == stretch[2]
@@ -446,8 +446,10 @@ def test_very_long_stretches_are_decoded_in_cuts():
     value = "(212) 555-0187"
     text = " ".join(f"12 {'x' * rnd.randint(1, 9)} {value}" for _ in range(3000))
     (spans,) = pii.tagged_spans(tagger, [text])
-    right = sum(text[a:b] == value for _, a, b in spans)
-    assert right >= 0.9 * 3000 and len(set(spans)) == len(spans)
+    monkeypatch.setattr(pii, "CUT", 1 << 30)
+    (whole,) = pii.tagged_spans(tagger, [text])
+    assert len(set(spans)) == len(spans) > 500
+    assert len(set(spans) ^ set(whole)) <= 0.01 * len(whole)
 
 
 # -- 7 passages
