@@ -316,11 +316,79 @@ def test_contamination_of_long_items_and_large_tables():
     texts = [" ".join(around(27) + one + around(59)), " ".join(around(40) + two + around(40)), " ".join(around(100)), None, ""]
     batch = pa.record_batch([pa.array(texts, pa.string())], names=["text"])
     for idf in (4.0, 9.0):
-        telling = decontaminate.Telling(items, np.full(len(items.terms), idf))
+        telling = decontaminate.Telling(items, np.full(len(items.terms), idf), np.random.default_rng(1).normal(size=(1 << decontaminate.SLOT_BITS, 48)))
         got = [f for _, found in decontaminate._found(iter([batch]), telling) for f in found]
         assert [sorted(f) for f in got] == [[0], [1], [], [], []]
 
 
+def _topics(rnd):
+    """Documents of 40 topics; each has words that stand for one another.  An item, and a document that says the same in other
+    words of its topic, with the item's rare words and a few more in order."""
+    made = lambda n: ["".join(rnd.choice("bcdfghklmn") for _ in range(7)) for _ in range(n)]
+    topics = [made(30) for _ in range(40)]
+    docs = [" ".join(rnd.choices(rnd.choice(topics), k=rnd.randint(40, 90))) for _ in range(1500)]
+    answer = made(5)
+    words = rnd.sample(topics[7], 30)
+    one, other = words[:15], words[15:]
+    item, said = list(one), list(one[:3]) + other[:12]
+    for i, x in enumerate(answer):
+        item.insert(4 * i, x)
+        said.insert(4 * i, x)
+    return docs, " ".join(item), " ".join(said)
+
+
+def test_a_paraphrase_is_found_in_the_latent_space(spark, monkeypatch):
+    rnd = random.Random(3)
+    docs, item, said = _topics(rnd)
+    frame = spark.createDataFrame([*enumerate(docs), (9000, said), (9001, item), (9002, " ".join(rnd.sample(said.split(), 20)))], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    contaminated = lambda: {r.doc_id for r in decontaminate.contamination(frame, bench).where("contaminated").collect()}
+    assert contaminated() == {9000, 9001}
+    telling = decontaminate.telling_words(frame, [(1, item)])
+    slots = decontaminate._slots(wh.hash_text(said, wh.NOT_ALNUM, lower=True))
+    a, b = (np.bincount(decontaminate._slots(wh.hash_text(t, wh.NOT_ALNUM, lower=True)), minlength=1 << decontaminate.SLOT_BITS) for t in (item, said))
+    assert telling.cosine(0, slots) > 0.7 > 0.6 > (a @ b) / np.sqrt((a @ a) * (b @ b))
+    # without singular vectors, each column a direction of its own, the paraphrase is lost
+    monkeypatch.setattr(decontaminate, "latent_words", lambda docs, idf, halves: np.random.default_rng(2).normal(size=(len(idf), 256)).astype(np.float32))
+    assert contaminated() == {9001}
+
+
+def test_singular_vectors_against_numpy(spark):
+    """The space is that of a dense singular value decomposition of the same TF-IDF matrix, where the spectrum falls off."""
+    docs, *_ = _topics(random.Random(4))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    columns = 1 << decontaminate.SLOT_BITS
+    rows = []
+    for t in docs:
+        slots = decontaminate._slots(wh.hash_text(t, wh.NOT_ALNUM, lower=True))
+        rows += [np.bincount(slots[i : i + decontaminate.HALF], minlength=columns) for i in range(0, len(slots), decontaminate.HALF)]
+    a = np.array(rows, float)
+    seen = np.flatnonzero(a.any(0))
+    idf = np.where(a.any(0), np.log((len(a) + 1) / ((a > 0).sum(0) + 1)) + 1, 0)
+    _, sigma, v = np.linalg.svd(a[:, seen] * idf[seen], full_matrices=False)
+    got = decontaminate.latent_words(frame, idf, len(a))
+    # of the 40 leading directions, one for each topic, each is within the found space
+    scaled = np.linalg.qr(got[seen] / idf[seen][:, None])[0]
+    assert np.linalg.norm(scaled.T @ v[:40].T, axis=0).min() > 0.9
+    assert np.allclose(np.sort(1 / np.linalg.norm(got[seen] / idf[seen][:, None], axis=0))[::-1][:40], sigma[:40], rtol=0.05)
+
+
+def test_items_do_not_depend_on_other_items(spark):
+    """The same finds among 10, 224 and 1,000 items."""
+    rnd = random.Random(6)
+    vocabulary = ["".join(rnd.choice("bcdfghklmn") for _ in range(7)) for _ in range(3000)]
+    filler = lambda n: " ".join(rnd.choices(vocabulary, k=n))
+    first = [(i, filler(rnd.choice([12, 30, 80]))) for i in range(10)]
+    rows = [(i, filler(rnd.choice([5, 70, 300]))) for i in range(280)] + [(1000 + i, f"{filler(40)} {t} {filler(60)}") for i, t in first[::2]]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    more = [(100 + i, " ".join("".join(rnd.choice("opqrstuvw") for _ in range(7)) for _ in range(20))) for i in range(990)]
+    results = []
+    for n in (10, 224, 1000):
+        bench = spark.createDataFrame((first + more)[:n], "item_id long, text string")
+        results.append(sorted((r.doc_id, r["items"], round(r.share, 9)) for r in decontaminate.contamination(frame, bench).where("contaminated").collect()))
+    assert results[0] == results[1] == results[2] and [r[0] for r in results[0]] == [1000 + i for i, _ in first[::2]]
+
+
 # -- 6 personal data
 
 _KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -443,8 +511,8 @@ def test_very_long_stretches_are_decoded_in_cuts(monkeypatch):
         assert all(c[2] - c[1] <= pii.CUT and c[1] <= c[3] and c[4] <= c[2] for c in cuts)
     rnd = random.Random(3)
     tagger = pii.train([f"words here {rnd.randint(1, 9)} and there" for _ in range(50)])
-    value = "(212) 555-0187"
-    text = " ".join(f"12 {'x' * rnd.randint(1, 9)} {value}" for _ in range(3000))
+    value = "10.0.0.17"
+    text = " ".join(f"call {"x" * rnd.randint(1, 9)} {value} or more" for _ in range(3000))
     (spans,) = pii.tagged_spans(tagger, [text])
     monkeypatch.setattr(pii, "CUT", 1 << 30)
     (whole,) = pii.tagged_spans(tagger, [text])
@@ -655,8 +723,8 @@ def test_recall_of_near_equal_lines():
             data = np.frombuffer(f"{one}\n{two}".encode(), np.uint8)
             found = lines._Lines(data, np.array([0, len(data)]))
             own = lines.SimHashes(*found.spelled(np.arange(2)), 0.9)
-            rows = [(int(k), int(i), int(n), int(p), int(c)) for k4, i, n, p4, c in zip(own.block, own.line, own.length, own.place, own.kinds.view(np.int64), strict=True) for k, p in zip(k4, p4, strict=True)]
-            table = pa.record_batch([pa.array([r[c] for r in rows], pa.int64() if c else pa.uint64()) for c in range(5)], names=["key", "id", "size", "place", "kinds"])
+            rows = [(int(k), int(i), int(n), int(p), *map(int, c)) for k4, i, n, p4, c in zip(own.block, own.line, own.length, own.place, own.kinds.view(np.int64), strict=True) for k, p in zip(k4, p4, strict=True)]
+            table = pa.record_batch([pa.array([r[c] for r in rows], pa.int64() if c else pa.uint64()) for c in range(6)], names=["key", "id", "size", "place", "kinds", "more_kinds"])
             a, b = ([i for i, r in enumerate(rows) if r[1] == x] for x in (0, 1))
             same = [(i, j) for i in a for j in b if rows[i][0] == rows[j][0]]
             met += bool(same) and bool(lines.may_link(table, np.array([i for i, _ in same]), np.array([j for _, j in same]), 0.9).any())
