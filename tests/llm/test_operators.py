@@ -370,7 +370,7 @@ def test_singular_vectors_against_numpy(spark):
     # of the 40 leading directions, one for each topic, each is within the found space
     scaled = np.linalg.qr(got[seen] / idf[seen][:, None])[0]
     assert np.linalg.norm(scaled.T @ v[:40].T, axis=0).min() > 0.9
-    assert np.allclose(np.sort(1 / np.linalg.norm(got[seen] / idf[seen][:, None], axis=0))[::-1][:40], sigma[:40], rtol=0.05)
+    assert np.allclose(np.sort(1 / np.linalg.norm(got[seen] / idf[seen][:, None], axis=0))[::-1][:40], sigma[:40], rtol=0.15)
 
 
 def test_items_do_not_depend_on_other_items(spark):
