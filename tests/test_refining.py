@@ -74,3 +74,12 @@ def test_vetoes(raw, refined, want):
     from textloom.functions import guard
 
     assert guard.reject_reasons(raw, refined) == want
+
+
+def test_windows_in_catalyst(spark):
+    rnd = random.Random(18)
+    parts = ["Hello", " ", ".", "3.14", "e.g. ", "。", "！", "”", "\n", "word", "?", "a.b", "Dr. ", "x" * 50, "\x1e"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(300)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", windows.windows_of(F.col("t"), 40, 2).alias("w"), windows.sentences_of(F.col("t")).alias("s"))
+    for r in df.collect():
+        assert (r.w, r.s) == ((None, None) if r.t is None else (windows.source_windows(r.t, 40, 2), windows.sentences(r.t)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field, replace
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -73,40 +75,52 @@ def stability_of(updates: DataFrame) -> DataFrame:
     return keyed.groupBy("session_id").applyInPandas(whole, _STABILITY)
 
 
+@dataclass
+class Heard:
+    """One name in a session: how often it came, how sure each independent observation was, and when it was heard last."""
+
+    name: str
+    times: int = 0
+    sources: dict[str, float | None] = field(default_factory=dict)
+    verified: bool = False
+    last_ms: float = 0.0
+
+    PROMOTE: ClassVar[int] = 2
+    CONFIDENT: ClassVar[float] = 0.8
+
+    @property
+    def trust(self) -> str:
+        """verified, accepted (enough independent observations, sure on average), observed (heard again), or candidate."""
+        sure = [c for c in self.sources.values() if c is not None]
+        accepted = min(self.times, len(sure)) >= self.PROMOTE and sum(sure) >= self.CONFIDENT * len(sure)
+        return "verified" if self.verified else "accepted" if accepted else "observed" if self.times > 1 else "candidate"
+
+
 class Memory:
-    """What a session has heard: names are promoted after independent confident observations, and forgotten after a while."""
+    """What a session has heard.  Names not verified are forgotten after a while, and beyond a number of names the least
+    trusted, longest unheard one goes."""
 
-    CAPACITY, TTL_MS, PROMOTE, CONFIDENT = 128, 20 * 60 * 1000.0, 2, 0.8
+    CAPACITY, TTL_MS = 128, 20 * 60 * 1000.0
 
-    def __init__(self, entries: dict | None = None):
-        self.entries: dict[str, dict] = entries or {}
+    def __init__(self, entries: dict[str, Heard] | None = None):
+        self.entries = entries or {}
 
     def observe(self, name: str, now_ms: float, confidence: float | None = None, observation: str | None = None, verified: bool = False) -> dict:
-        name = name.strip()
-        self.forget(now_ms)
-        e = self.entries.setdefault(name, {"name": name, "count": 0, "seen": [], "sum": 0.0, "sure": 0, "trust": "candidate", "last_ms": now_ms})
-        e["last_ms"], e["count"] = now_ms, e["count"] + 1
-        if observation is not None and observation not in e["seen"]:
-            e["seen"].append(observation)
-            if confidence is not None:
-                e["sum"], e["sure"] = e["sum"] + confidence, e["sure"] + 1
-        if verified:
-            e["trust"] = "verified"
-        elif e["trust"] != "verified":
-            if min(e["count"], e["sure"]) >= self.PROMOTE and e["sum"] / e["sure"] >= self.CONFIDENT:
-                e["trust"] = "accepted"
-            elif e["count"] > 1:
-                e["trust"] = "observed"
-        while len(self.entries) > self.CAPACITY:
-            loose = [x for x in self.entries.values() if x["trust"] != "verified"] or list(self.entries.values())
-            del self.entries[min(loose, key=lambda x: (x["trust"] == "accepted", x["last_ms"], x["count"]))["name"]]
-        return e
-
-    def forget(self, now_ms: float) -> None:
-        self.entries = {k: e for k, e in self.entries.items() if e["trust"] == "verified" or now_ms - e["last_ms"] <= self.TTL_MS}
+        kept = {k: e for k, e in self.entries.items() if e.verified or now_ms - e.last_ms <= self.TTL_MS}
+        heard = kept.pop(name.strip(), None) or Heard(name.strip())
+        sources = heard.sources if observation is None else {observation: confidence} | heard.sources
+        heard = replace(heard, times=heard.times + 1, sources=sources, verified=heard.verified or verified, last_ms=now_ms)
+        self.entries = kept | {heard.name: heard}
+        for _ in range(len(self.entries) - self.CAPACITY):
+            worst = min(self.entries.values(), key=lambda e: (e.verified, e.trust == "accepted", e.last_ms, e.times))
+            del self.entries[worst.name]
+        return {"name": heard.name, "trust": heard.trust, "count": heard.times}
 
     def trusted(self) -> list[str]:
-        return sorted(k for k, e in self.entries.items() if e["trust"] in ("accepted", "verified"))
+        return sorted(k for k, e in self.entries.items() if e.trust in ("accepted", "verified"))
+
+    def rows(self, session: str) -> pd.DataFrame:
+        return pd.DataFrame([(session, e.name, e.trust, e.times) for e in self.entries.values()], columns=["session_id", "name", "trust", "occurrences"])
 
 
 def session_memory(observations: DataFrame) -> DataFrame:
@@ -117,7 +131,7 @@ def session_memory(observations: DataFrame) -> DataFrame:
         memory = Memory()
         for r in rows.sort_values(["ts", "observation_id"]).itertuples():
             memory.observe(r.name, r.ts.timestamp() * 1000, r.confidence, str(r.observation_id))
-        return pd.DataFrame([(key[0], e["name"], e["trust"], e["count"]) for e in memory.entries.values()], columns=["session_id", "name", "trust", "occurrences"])
+        return memory.rows(key[0])
 
     keyed = observations.select(F.col("session_id").cast("string"), "ts", "name", "confidence", "observation_id")
     return keyed.groupBy("session_id").applyInPandas(whole, "session_id string, name string, trust string, occurrences long")
@@ -183,11 +197,11 @@ _MEMORY = "session_id string, name string, trust string, occurrences long"
 
 
 def _remember(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    memory = Memory(json.loads(state.get[0]) if state.exists else None)
+    memory = Memory({k: Heard(**e) for k, e in json.loads(state.get[0]).items()} if state.exists else None)
     for r in pd.concat(list(frames)).sort_values(["ts", "observation_id"]).itertuples():
         memory.observe(r.name, r.ts.timestamp() * 1000, r.confidence, str(r.observation_id))
-    state.update((json.dumps(memory.entries),))
-    yield pd.DataFrame([(key[0], e["name"], e["trust"], e["count"]) for e in memory.entries.values()], columns=["session_id", "name", "trust", "occurrences"])
+    state.update((json.dumps({k: asdict(e) for k, e in memory.entries.items()}),))
+    yield memory.rows(key[0])
 
 
 def memory_stream(observations: DataFrame) -> DataFrame:
