@@ -209,7 +209,20 @@ def test_sources(spark, tmp_path):
     path = str(tmp_path / "x.jsonl")
     with open(path, "w") as f:
         f.write('{"id": 1, "t": "a"}\n\n{"id": 2, "t": "b"}\n{"id": 3, "t"')
-    assert files.read_jsonl(spark, path, "id int, t string").count() == 2
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_jsonl(spark, path, "id int, t string").collect()
+    assert [(r.line, r.value) for r in files.bad_lines(spark, path).collect()] == [(4, '{"id": 3, "t"')]
+    assert [r.bad_lines for r in files.tail_losses(spark, path).collect()] == [1]
+    odd = str(tmp_path / "odd.jsonl")
+    with open(odd, "w") as f:
+        f.write('{"id": 1}\n[2]\n{"id": 3}\n')
+    assert [r.line for r in files.bad_lines(spark, odd).collect()] == [2]
+    with pytest.raises(Exception, match="malformed line"):
+        files.read_jsonl_tail_tolerant(spark, odd, "id int").collect()
+    files.write_jsonl(spark.createDataFrame([(1, None)], "id int, t string"), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"id":1,"t":null}']
+    files.write_document(spark.createDataFrame([(2, "b"), (1, None)], "id int, t string"), str(tmp_path / "doc"))
+    assert [(r.id, r.t) for r in files.read_document(spark, str(tmp_path / "doc"), "id int, t string").collect()] == [(1, None), (2, "b")]
     assert files.read_jsonl_tail_tolerant(spark, path, "id int, t string").count() == 2
     assert files.read_jsonl(spark, str(tmp_path / "none"), "id int").count() == 0
     marked = spark.createDataFrame([("a[bc]d[e]",), (None,)], "t string").select(files.read_markup(F.col("t")).alias("m")).collect()
@@ -218,6 +231,22 @@ def test_sources(spark, tmp_path):
     assert [(x.text, x.score) for x in raw] == [("好", 2), ("差", 0)]
 
 
+def test_partial_pairs_and_glossary(spark):
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 9))) for _ in range(80)] + [None, "x" * 100, "x" * 64, "x" * 63]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if a and b and len(a) < len(b) and b.startswith(a)}
+    got = [tuple(r) for r in joins.partial_pairs(df).collect()]
+    assert set(got) == want and len(got) == len(want)
+    surfaces = [f"{'w ' * k}end" for k in range(45)] + ["A-B c", "é", None]
+    long = spark.createDataFrame([(1, "w " * 50 + "end"), (2, "a b, C"), (3, None), (4, "")], "id int, text string")
+    for few in (256, 0):
+        joins.FEW, kept = few, joins.FEW
+        found = {(r.id, r.surface): r.n for r in joins.glossary_places(long, spark.createDataFrame([(x,) for x in surfaces], "surface string")).collect()}
+        joins.FEW = kept
+        assert found == {(1, s): 1 for s in surfaces[:45]} | {(2, "A-B c"): 1}
+
+
 def test_overlaps(spark):
     a = spark.createDataFrame([(1, 0, 5), (1, 10, 12)], "k int, start int, stop int")
     assert joins.overlapping(a, spark.createDataFrame([(1, 4, 11)], "k int, start int, stop int"), "k").count() == 2

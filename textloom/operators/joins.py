@@ -9,6 +9,8 @@ from textloom.operators.evaluate import unique_or_raise
 
 #: Glossary rows up to which it is broadcast.
 BROADCAST = 100_000
+#: First words of a glossary up to which texts are searched for them in place.
+FEW = 256
 
 
 def match_records(asr: DataFrame, rubric: DataFrame, key: str, output: str) -> DataFrame:
@@ -38,19 +40,46 @@ def conflicts(rows: DataFrame, source: Column, target: str) -> DataFrame:
     return rows.groupBy(source.alias("source_key")).agg(F.count_distinct(target).alias("targets"), F.count(F.lit(1)).alias("n")).where("targets > 1")
 
 
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+
+
 def glossary_places(texts: DataFrame, glossary: DataFrame) -> DataFrame:
-    """``texts`` (id, text) and ``glossary`` (surface): (id, surface, n) for surfaces whose words stand in the text one after
-    the other.  Texts are exploded to their words' runs of the glossary's lengths and joined by equality."""
-    lengths = [r.k for r in glossary.select(F.size(F.split(F.lower("surface"), " ")).alias("k")).distinct().limit(32).collect()]
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    runs = texts.select("id", words.alias("w"))
-    grams = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>"))
-    each = runs.select("id", F.explode(F.concat(*[grams(k) for k in sorted(lengths)])).alias("key"))
-    small = glossary.limit(BROADCAST + 1).count() <= BROADCAST
-    keyed = glossary.select("surface", F.lower("surface").alias("key"))
+    """``texts`` (id, text) and ``glossary`` (surface): (id, surface, n) for surfaces whose words (runs of ASCII letters and
+    digits) stand in the text one after the other.
+
+    Runs of the surfaces' lengths are joined by equality; with few first words only runs that begin with one are made."""
+    known = glossary.select("surface", _words("surface").alias("g")).where(F.size("g") > 0)
+    known = known.select("surface", F.array_join("g", " ").alias("key"), F.size("g").alias("k"), F.col("g")[0].alias("first"))
+    lengths = sorted(r.k for r in known.select("k").distinct().collect())  # one number for each length that a surface has
+    firsts = [r.first for r in known.select("first").distinct().limit(FEW + 1).collect()]
+    at = F.sequence(F.lit(1), F.size("w"))
+    if len(firsts) <= FEW:
+        begins = F.array(*map(F.lit, firsts)) if firsts else F.array().cast("array<string>")
+        at = F.filter(at, lambda i: F.array_contains(begins, F.element_at("w", i)))
+    runs = texts.select("id", _words("text").alias("w")).where(F.size("w") > 0).select("id", "w", at.alias("at"))
+    grams = lambda k: F.transform(F.filter("at", lambda i: i + (k - 1) <= F.size("w")), lambda i: F.array_join(F.slice("w", i, k), " "))
+    each = runs.select("id", F.explode(F.concat(*map(grams, lengths)) if lengths else F.array().cast("array<string>")).alias("key"))
+    small = known.limit(BROADCAST + 1).count() <= BROADCAST
+    keyed = known.select("surface", "key")
     return each.join(F.broadcast(keyed) if small else keyed, "key").groupBy("id", "surface").agg(F.count(F.lit(1)).alias("n"))
 
 
+def partial_pairs(texts: DataFrame) -> DataFrame:
+    """``texts`` (id, text): (part, whole), ids of texts of which one is a proper, non-empty beginning of the other.
+
+    A text of n characters, 2**k <= n < 2**(k + 1), meets longer ones by a hash of its first 2**k; each text has as many such
+    beginnings as n has binary digits."""
+    sized = texts.where(F.length("text") > 0).withColumn("k", F.floor(F.log2(F.length("text").cast("double")) + 1e-9).cast("int"))
+    head = lambda k: F.xxhash64(k, F.substring(F.col("text"), F.lit(1), F.pow(F.lit(2.0), k).cast("int")))
+    part = sized.select(F.col("id").alias("part"), head(F.col("k")).alias("key"))
+    whole = sized.select(F.col("id").alias("whole"), F.explode(F.transform(F.sequence(F.lit(0), F.col("k")), head)).alias("key"))
+    met = part.join(whole, "key").select("part", "whole").where("part <> whole")
+    named = lambda id_, text: texts.select(F.col("id").alias(id_), F.col("text").alias(text))
+    both = met.join(named("part", "a"), "part").join(named("whole", "b"), "whole")
+    return both.where((F.length("a") < F.length("b")) & F.startswith("b", "a")).select("part", "whole")
+
+
 def bigram_candidates(texts: DataFrame, surfaces: DataFrame, share: float = 0.8) -> DataFrame:
     """(id, surface, score): surfaces of which at least ``share`` of the character bigrams occur in the text."""
     from textloom.functions.text import char_ngrams

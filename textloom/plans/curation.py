@@ -199,9 +199,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").join(F.broadcast(weights), "source", "left_semi").select("doc_id")
 
 
-@query("d7_seed_dedupe", "SELECT lang, key, min(doc_id) AS doc_id FROM (SELECT lang, doc_id, trim(regexp_replace(lower(substr(text, 1, 60)), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) GROUP BY lang, key")
+@query("d7_seed_dedupe", "SELECT lang, key, min(doc_id) AS doc_id FROM (SELECT lang, doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents) GROUP BY lang, key")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    keyed = read(spark, d, "documents").select("lang", "doc_id", F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z0-9]+", " ")).alias("key"))
+    keyed = read(spark, d, "documents").select("lang", "doc_id", F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " ")).alias("key"))
     first = F.row_number().over(Window.partitionBy("lang", "key").orderBy("doc_id"))
     return keyed.withColumn("rn", first).where("rn = 1").select("lang", "key", "doc_id")
 
@@ -312,7 +312,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share their text or its first hundred characters hang together."""
     docs = read(spark, d, "documents")
     by_text = docs.withColumn("b", F.min("doc_id").over(Window.partitionBy("text"))).select(F.col("doc_id").alias("a"), "b")
-    by_head = docs.withColumn("b", F.min("doc_id").over(Window.partitionBy(F.substring("text", 1, 100)))).select(F.col("doc_id").alias("a"), "b")
+    by_head = docs.withColumn("b", F.min("doc_id").over(Window.partitionBy("text"))).select(F.col("doc_id").alias("a"), "b")
     comp = simjoin.components(by_text.union(by_head).where("a <> b"))
     return docs.select("doc_id").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
 

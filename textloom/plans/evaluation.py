@@ -28,12 +28,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return E.rubric_summary(judged, F.when(F.col("category") == "de", 2).otherwise(1))
 
 
-_PAIR_SQL = "SELECT conv_id, turn, role, substr(text, 1, 80) AS ref, substr(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), 1, 80) AS hyp FROM conversations"
+_PAIR_SQL = "SELECT conv_id, turn, role, text AS ref, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM conversations"
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    hyp = F.substring(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), 1, 80)
-    return read(spark, d, "conversations").select("conv_id", "turn", "role", F.substring("text", 1, 80).alias("ref"), hyp.alias("hyp"))
+    hyp = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return read(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("ref"), hyp.alias("hyp"))
 
 
 def _ascii(c: str) -> F.Column:
@@ -90,7 +90,7 @@ _NAMES_SQL = "(VALUES ('the', 1), ('idiot', 2), ('trash', 2), ('license', 3)) g(
 @query(
     "a6_entity_recall",
     f"""WITH gold AS (SELECT doc_id AS id, lang, name, len(regexp_extract_all(lower(text), name)) AS n FROM documents, {_NAMES_SQL}),
-        found AS (SELECT doc_id AS id, name, len(regexp_extract_all(lower(substr(text, 1, 1000)), name)) AS m FROM documents, {_NAMES_SQL})
+        found AS (SELECT doc_id AS id, name, len(regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN replace(lower(text), 'the', 'teh') ELSE lower(text) END, name)) AS m FROM documents, {_NAMES_SQL})
         SELECT lang, CAST(sum(least(n, m)) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS mentions, sum(least(n, m)) / sum(n) AS recall FROM gold JOIN found USING (id, name) WHERE n > 0 GROUP BY lang""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -98,20 +98,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "text", names.alias("name"))
     times = lambda t: F.size(F.split(F.lower(t), F.col("name"))) - 1
     gold = docs.select("id", "lang", "name", times(F.col("text")).alias("n")).where("n > 0")
-    found = docs.select("id", "name", times(F.substring("text", 1, 1000)).alias("n"))
+    heard = F.when(F.col("id") % 3 == 0, F.replace(F.lower("text"), F.lit("the"), F.lit("teh"))).otherwise(F.col("text"))
+    found = docs.select("id", "name", times(heard).alias("n"))
     return E.recall_of(gold, found, "lang")
 
 
 @query(
     "a7_recovered_lost",
-    f"""WITH a AS (SELECT doc_id, name, len(regexp_extract_all(lower(substr(text, 1, 1000)), name)) AS x, len(regexp_extract_all(lower(substr(text, 501, 1000)), name)) AS y FROM documents, {_NAMES_SQL})
+    f"""WITH a AS (SELECT doc_id, name, len(regexp_extract_all(replace(lower(text), 'license', 'licence'), name)) AS x, len(regexp_extract_all(replace(lower(text), 'trash', 'thrash'), name)) AS y FROM documents, {_NAMES_SQL})
         SELECT name, CAST(sum(greatest(0, y - x)) AS BIGINT) AS recovered, CAST(sum(greatest(0, x - y)) AS BIGINT) AS lost FROM a GROUP BY name""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     names = F.explode(F.array(*map(F.lit, ["the", "idiot", "trash", "license"])))
     docs = read(spark, d, "documents").select("text", names.alias("name"))
-    times = lambda a: F.size(F.split(F.lower(F.substring("text", a, 1000)), F.col("name"))) - 1
-    both = docs.select("name", times(1).alias("x"), times(501).alias("y"))
+    times = lambda a, b: F.size(F.split(F.replace(F.lower("text"), F.lit(a), F.lit(b)), F.col("name"))) - 1
+    both = docs.select("name", times("license", "licence").alias("x"), times("trash", "thrash").alias("y"))
     return both.groupBy("name").agg(F.sum(F.greatest(F.lit(0), F.col("y") - F.col("x"))).alias("recovered"), F.sum(F.greatest(F.lit(0), F.col("x") - F.col("y"))).alias("lost"))
 
 

@@ -61,9 +61,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", key).join(read(spark, d, "benchmark").select(key), "key", "left_anti").select("doc_id")
 
 
-@query("j9_conflicts", "SELECT lower(text[:40]) AS source_key, count(DISTINCT lang) AS targets, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1")
+@query("j9_conflicts", "SELECT lower(text) AS source_key, count(DISTINCT lang) AS targets, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return joins.conflicts(read(spark, d, "documents"), F.lower(F.substring("text", 1, 40)), "lang")
+    return joins.conflicts(read(spark, d, "documents"), F.lower("text"), "lang")
 
 
 @query("j12_bigram_candidates")
@@ -89,17 +89,17 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return joins.glossary_places(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), glossary)
 
 
-@query("j16_source_merge", "SELECT text[:30] AS group_key, count(*) AS n, count(DISTINCT text) = 1 AS consistent FROM documents GROUP BY 1")
+@query("j16_source_merge", "SELECT text AS group_key, count(*) AS n, count(DISTINCT source) = 1 AS consistent FROM documents GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").groupBy(F.substring("text", 1, 30).alias("group_key")).agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("text") == 1).alias("consistent"))
+    return read(spark, d, "documents").groupBy(F.col("text").alias("group_key")).agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("source") == 1).alias("consistent"))
 
 
-_SPANS_SQL = "SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS start, CAST(l_quantity AS INT) + 5 AS stop FROM lineitem WHERE l_orderkey < 500"
+_SPANS_SQL = "SELECT l_orderkey AS k, l_linenumber AS n, CAST(l_quantity AS INT) AS start, CAST(l_quantity AS INT) + 5 AS stop FROM lineitem"
 
 
 @query("j17_span_overlap", f"SELECT a.k, a.n, b.n AS m FROM ({_SPANS_SQL}) a JOIN ({_SPANS_SQL}) b ON a.k = b.k AND a.n < b.n AND a.start < b.stop AND b.start < a.stop")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    own = read(spark, d, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity").cast("int") + 5).alias("stop"))
+    own = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("start"), (F.col("l_quantity").cast("int") + 5).alias("stop"))
     other = own.select("k", F.col("n").alias("m"), F.col("start").alias("s2"), F.col("stop").alias("e2"))
     return own.join(other, "k").where("n < m and start < e2 and s2 < stop").select("k", "n", "m")
 
@@ -175,9 +175,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.get_json_object("props", "$.a.b").alias("missing"))
 
 
-@query("p2_extract_text", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN lang = 'en' THEN text[:20] END), ''), nullif(trim(CASE WHEN doc_id % 2 = 0 THEN source END), '')) AS out FROM documents")
+@query("p2_extract_text", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN lang = 'en' THEN text END), ''), nullif(trim(CASE WHEN doc_id % 2 = 0 THEN source END), '')) AS out FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    out = F.coalesce(T.blank_to_null(F.when(F.col("lang") == "en", F.substring("text", 1, 20))), T.blank_to_null(F.when(F.col("doc_id") % 2 == 0, F.col("source"))))
+    out = F.coalesce(T.blank_to_null(F.when(F.col("lang") == "en", F.col("text"))), T.blank_to_null(F.when(F.col("doc_id") % 2 == 0, F.col("source"))))
     return read(spark, d, "documents").select("doc_id", out.alias("out"))
 
 
@@ -295,9 +295,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return sessions.session_memory(seen)
 
 
-@query("t7_latest_wins", "SELECT conv_id AS session_id, arg_max(text[:120], (CASE WHEN role = 'system' THEN 1000000 ELSE 0 END) + turn) AS text, arg_max(turn, (CASE WHEN role = 'system' THEN 1000000 ELSE 0 END) + turn) AS revision_no FROM conversations GROUP BY 1")
+@query("t7_latest_wins", "SELECT conv_id AS session_id, arg_max(text, (CASE WHEN role = 'system' THEN 1000000 ELSE 0 END) + turn) AS text, arg_max(turn, (CASE WHEN role = 'system' THEN 1000000 ELSE 0 END) + turn) AS revision_no FROM conversations GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return sessions.latest_wins(_updates(spark, d, F.substring("text", 1, 120)))
+    return sessions.latest_wins(_updates(spark, d, F.col("text")))
 
 
 @query("t15_windowed_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

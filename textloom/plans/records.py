@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import gates, spans, windows
 from textloom.functions import text as T
+from textloom.operators import joins
 from textloom.plans.registry import query
 from textloom.sources.tables import read
 
@@ -37,11 +38,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.when(same(edge), "negation_changed").when(same("[0-9]+"), "number_changed").otherwise("protected").alias("label"))
 
 
-@query("p25_partial_pairs", "SELECT count(*) AS n FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND a.text[:40] = b.text[:40] AND starts_with(b.text, a.text) AND length(a.text) < length(b.text)")
+@query("p25_partial_pairs", "SELECT count(*) AS n FROM documents a JOIN documents b ON a.doc_id < b.doc_id AND a.text <> '' AND starts_with(b.text, a.text) AND length(a.text) < length(b.text)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "text", F.substring("text", 1, 40).alias("head"))
-    other = docs.select("head", F.col("doc_id").alias("o"), F.col("text").alias("t"))
-    return docs.join(other, "head").where("doc_id < o and length(text) < length(t)").where(F.startswith("t", "text")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = joins.partial_pairs(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return pairs.where("part < whole").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w2_distinct_targets", "SELECT conv_id, turn, (SELECT count(DISTINCT role) FROM conversations x WHERE x.conv_id = c.conv_id) AS roles FROM conversations c")
@@ -83,10 +83,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return public.unionByName(read(spark, d, "documents").where("lang = 'en'").select(F.lit("synthetic").alias("origin"), F.col("doc_id").alias("id")))
 
 
-@query("f35_key_suffix", "SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN text[:50] || ' <KEY>[a, b] ' ELSE text[:50] END, '\\s*<KEY>\\[[^\\]]*\\]\\s*$', '')) AS text FROM documents")
+@query("f35_key_suffix", "SELECT doc_id, trim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN text || ' <KEY>[a, b] ' ELSE text END, '\\s*<KEY>\\[[^\\]]*\\]\\s*$', '')) AS text FROM documents")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    body = F.substring("text", 1, 50)
-    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(body, F.lit(" <KEY>[a, b] "))).otherwise(body)
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" <KEY>[a, b] "))).otherwise(F.col("text"))
     return read(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace(marked, r"\s*<KEY>\[[^\]]*\]\s*$", "")).alias("text"))
 
 

@@ -8,26 +8,54 @@ from pyspark.sql import functions as F
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
-    """Records of a JSON lines file; blank lines are skipped.  A missing path gives no rows; ``strict`` makes a malformed line
-    an error when it is read."""
-    reader = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED")
+    """Records of a JSON lines file; blank lines are skipped, and a malformed line is an error when it is read (``bad_lines``
+    tells which).  A missing path gives no rows, or with ``strict`` an error."""
     try:
-        return reader.json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     except AnalysisException as error:
         if strict or "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, value, bad) of every line that is not blank; ``at`` grows along a file."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), "value")
+    return lines.where(F.trim("value") != "").withColumn("bad", ~F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False)))
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of lines that hold no JSON object; lines count from 1, blank ones too."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
+    whole = files.where(F.trim("value") != "")
+    good = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    return whole.where(~good).select("file", (F.col("n") + 1).alias("line"), "value")
+
+
 def read_jsonl_tail_tolerant(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of a file whose writer may have died: lines that do not parse are left out and counted in ``bad_lines``."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
-    return parsed.where("not bad").select("r.*")
+    """Records of files whose writer may have died: a file's last line may be malformed and is left out then (``tail_losses``
+    counts these); any other malformed line is an error."""
+    lines = _lines(spark, path)
+    last = lines.groupBy("file").agg(F.max("at").alias("last"))
+    kept = lines.join(F.broadcast(last), "file").where(~(F.col("bad") & (F.col("at") == F.col("last"))))
+    checked = F.when(F.col("bad"), F.raise_error(F.concat(F.lit("malformed line in "), "file", F.lit(": "), "value")).cast("string")).otherwise(F.col("value"))
+    return kept.select(F.from_json(checked, schema).alias("r")).select("r.*")
+
+
+def tail_losses(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bad_lines): 1 for files whose last line is malformed, else 0."""
+    return _lines(spark, path).groupBy("file").agg(F.max_by("bad", "at").cast("int").alias("bad_lines"))
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
-    df.write.mode("append" if append else "errorifexists").json(path)
+    """Null fields are written as nulls.  Rows appear all at once, when the job is committed."""
+    df.write.mode("append" if append else "errorifexists").option("ignoreNullFields", False).json(path)
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """One JSON document of all rows, an array in one file; meant for reports, whose size is bounded."""
+    rows = F.array_sort(F.collect_list(F.struct(*df.columns)))
+    df.agg(F.to_json(rows, {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
 
 
 def read_document(spark: SparkSession, path: str, schema: str, items: str | None = None) -> DataFrame:
