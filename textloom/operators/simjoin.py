@@ -86,9 +86,41 @@ def first_wins(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return ids.join(state, "id", "left").select("id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
+def first_copies(items: DataFrame) -> DataFrame:
+    """``items`` (id, text[, part]) without later copies: of equal texts (of one part, trimmed) the least id stays; blank texts
+    all stay."""
+    part = F.col("part") if "part" in items.columns else F.lit("")
+    key = F.when(F.trim("text") != "", F.sha2(F.concat_ws("\u0000", part, F.trim("text")), 256))
+    first = items.select("id", key.alias("key")).where("key is not null").groupBy("key").agg(F.min("id").alias("id"))
+    blank = items.where(F.coalesce(F.trim("text") == "", F.lit(True))).select("id")
+    return items.join(first.select("id").union(blank), "id", "left_semi")
+
+
 def near_dedup(items: DataFrame, threshold: float = 0.75, n: int = 3) -> DataFrame:
-    """(id, kept) by ``first_wins`` over ``similar_pairs``; blank texts always stay."""
-    return first_wins(items.select("id"), similar_pairs(items, threshold, n))
+    """(id, kept) by ``first_wins`` over ``similar_pairs``; blank texts always stay.
+
+    A copy of an earlier text never stays: either that stays, or what beats it beats the copy.  So only first copies are
+    compared, and a group of copies costs no pairs."""
+    if threshold > 1:
+        return items.select("id", F.lit(True).alias("kept"))
+    firsts = cut(first_copies(items.select("id", "part", "text")), "firsts")
+    kept = first_wins(firsts.select("id"), similar_pairs(firsts, threshold, n))
+    return items.select("id").join(kept, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def near_index(items: DataFrame, threshold: float = 0.85, n: int = 3) -> DataFrame:
+    """(id, kept) by ``first_wins`` over ``lsh_pairs`` of first copies."""
+    firsts = cut(first_copies(items.select("id", "text")), "firsts")
+    kept = first_wins(firsts.select("id"), lsh_pairs(firsts, threshold, n))
+    return items.select("id").join(kept, "id", "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
+
+
+def is_duplicate(items: DataFrame, seen: DataFrame, threshold: float = 0.75, n: int = 3) -> DataFrame:
+    """(id, duplicate): whether an item (id, text) is similar to any of ``seen`` (text), whatever part either is of."""
+    known = seen.select("text").distinct().select((-1 - F.monotonically_increasing_id()).alias("id"), F.lit("").alias("part"), "text")
+    both = cut(known.union(items.select("id", F.lit("").alias("part"), "text")), "both")
+    hit = similar_pairs(both, threshold, n).where("a < 0 and b >= 0").select(F.col("b").alias("id")).distinct().withColumn("duplicate", F.lit(True))
+    return items.select("id").join(hit, "id", "left").select("id", F.coalesce("duplicate", F.lit(False)).alias("duplicate"))
 
 
 # -- MinHash bands with a given hash family

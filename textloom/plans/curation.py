@@ -30,7 +30,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("d5_lsh_near_index")
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return simjoin.first_wins(docs.select("id"), simjoin.lsh_pairs(docs)).withColumnRenamed("id", "doc_id")
+    return simjoin.near_index(docs).withColumnRenamed("id", "doc_id")
 
 
 @query(
