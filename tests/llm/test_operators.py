@@ -99,8 +99,29 @@ def test_kernel_is_the_gap_weighted_count():
         return total
 
     for s, z in [("^idiot", "^idiot"), ("^idxiot", "^idiot"), ("^toidi", "^idiot"), ("abcabc", "abc"), ("ab", "abc")]:
-        want = brute(s, z) / brute(z, z)
-        assert toxicity.kernel([s], [z])[0, 0] == pytest.approx(min(1, want))
+        want = brute(s, z) / (brute(s, s) * brute(z, z)) ** 0.5 if brute(s, s) else 0.0
+        assert toxicity.kernel([s], [z])[0, 0] == pytest.approx(want)
+    words = ["^idiot", "^idxiot", "^moron", "^stone", "^idiotic", "^xyzzy"]
+    square = toxicity.kernel(words, words)
+    assert np.allclose(square, square.T) and np.allclose(np.diag(square), 1) and np.linalg.eigvalsh(square).min() > -1e-9
+
+
+def test_toxicity_of_odd_texts(spark):
+    """Long, empty and repeated texts, and extra columns, by the same machine."""
+    rnd = random.Random(6)
+    plain = "stone river cloud window garden letter paper table music forest winter summer".split()
+    text = lambda bad: " ".join(rnd.choice(plain) for _ in range(20)) + (" you grobnik" if bad else "")
+    rows = [(i, text(i % 4 == 0), int(i % 4 == 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    odd = [(900, "grobnik " * 100_000), (901, "stone " * 100_000), (902, ""), (903, None), (904, rows[4][1]), (904, rows[4][1]), (905, "x" * 300_000)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + odd, "doc_id long, text string").withColumn("predicted", F.lit("p")).withColumn("toxic", F.lit(5))
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) + len(odd)
+    by = {r.doc_id: r.predicted for r in got}
+    assert [by[i] for i in (900, 901, 902, 903, 904, 905)] == [1, 0, 0, 0, 1, 0]
+    assert len({r.score for r in got if r.doc_id == 904}) == 1
+    kept = toxicity.reject_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r.toxic for r in kept.collect()} == {5}
 
 
 def test_toxicity_learns_gapped_insults(spark, none):

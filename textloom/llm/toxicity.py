@@ -34,19 +34,20 @@ LEAST = 0.05
 
 
 def kernel(units: list[str], landmarks: list[str], which: np.ndarray | None = None) -> np.ndarray:
-    """Gap-weighted subsequence kernel of units and landmarks (Lodhi et al.), divided by the landmark's own value, at most 1.
+    """Gap-weighted subsequence kernel of units and landmarks (Lodhi et al.), normalised: K(x, z) / sqrt(K(x, x) K(z, z)).
 
     All pairs, or for ``which`` (pairs of indices, one row each) those pairs only."""
     if which is None:
         which = np.stack(np.meshgrid(np.arange(len(units)), np.arange(len(landmarks)), indexing="ij"), -1).reshape(-1, 2)
         return kernel(units, landmarks, which).reshape(len(units), len(landmarks))
     own = np.array([_raw(_codes([z]), _codes([z]))[0] for z in landmarks])
-    out = np.zeros(len(which))
     s, z = _codes(units), _codes(landmarks)
+    self_ = np.concatenate([np.zeros(0), *(_raw(s[a : a + 4096], s[a : a + 4096]) for a in range(0, len(units), 4096))])
+    out = np.zeros(len(which))
     for at in range(0, len(which), 4096):
         i, j = which[at : at + 4096].T
         out[at : at + 4096] = _raw(s[i], z[j])
-    return np.minimum(1.0, out / np.maximum(own[which[:, 1]], 1e-300))
+    return out / np.sqrt(np.maximum(own[which[:, 1]] * self_[which[:, 0]], 1e-300))
 
 
 def _codes(strings: list[str]) -> np.ndarray:
@@ -272,9 +273,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     landmarks = list(dict.fromkeys(picked + ordinary))
     scorer = Scorer(landmarks)
     read = [x for a in range(0, len(texts), 200) for x in scorer.read(texts[a : a + 200])]
-    # Nyström: features times the inverse root of the landmarks' own kernel matrix
-    k = kernel(landmarks, landmarks)
-    values, vectors = np.linalg.eigh((k + k.T) / 2)
+    # Nyström: features times the inverse root of the landmarks' own kernel matrix, which is symmetric and positive
+    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
     root = (vectors / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
     put_in = _put_in(landmarks)
     blank = np.zeros(len(landmarks))
@@ -359,9 +359,10 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Texts are lower-cased and split at blanks; a token counts by its letters, so characters put between them do not matter,
     by those of its stretches between other characters, and, where there are more than ``UNIT`` of them, by those from any
-    letter on; letters spelled with blanks between them are one token more.  The machine is trained on sentences; a text's score follows from
-    the margins of its most telling tokens, their number and its length.
-    A null or empty text scores as one without telling words.  If the labels hold no or only one class, all scores are
+    letter on; letters spelled with blanks between them are one token more.  The machine is trained on sentences; a text's score
+    is a logistic curve over its margins: the three largest of its tokens', how many are positive, and, as in a long text some
+    are by chance, the text's length.  A null or empty text scores as one without telling words, a very long one is read whole.
+    Repeated rows score alike; other columns are not read; an empty table gives none.  If the labels hold no or only one class, all scores are
     equal and below 0.5.  Rows without doc_id are scored and count as held out."""
     model = train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
