@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.functions import pieces, policy, repeats
-from textloom.operators import select, simjoin
+from textloom.functions import numbers, pieces, policy, quantities, repeats, verdicts
+from textloom.operators import classify, entities, select, simjoin
 from textloom.plans.registry import query
 from textloom.sources import records
 from textloom.sources.tables import read
@@ -195,3 +195,42 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("s12_library_names", "SELECT DISTINCT p_name AS canonical_text FROM part WHERE p_size > 5")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return records.library_names(read(spark, d, "part").select(F.col("p_name").alias("canonical_text"), (F.col("p_size") > 5).alias("enabled")))
+
+
+@query("f14_numeric_mentions")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.size(quantities.mentions_of(F.col("text"))).alias("n"))
+
+
+@query("f15_numbers_preserved")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d).where("next is not null").select("conv_id", "turn", quantities.numbers_preserved(F.col("text"), F.col("next")).alias("kept"))
+
+
+@query("f37_fuzzy_matches")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    named = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id"), F.min("p_type").alias("entity_type"), F.max("p_size").alias("priority"))
+    entities_ = named.withColumn("domain", F.lit("parts"))
+    heard = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit("widget"), F.lit("wigdet")).alias("text"))
+    return entities.fuzzy_matches(heard, entities_, "parts").select("id", "entity_id", "start", "length", F.round("score", 9).alias("score"), "action")
+
+
+@query("ml1_text_classifier")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "id")
+    return classify.classify(classify.fit_classifier(rows), rows).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p13_unsupported_edits")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of each turn's cleaned form that are not in it: none."""
+    from textloom.functions import cleanup
+
+    cleaned = read(spark, d, "conversations").select("conv_id", "turn", "text", cleanup.clean(F.col("text")).alias("clean"))
+    return cleaned.select("conv_id", "turn", verdicts.unsupported(F.col("text"), F.col("clean")).alias("inserted"))
+
+
+@query("f11_number_value", "SELECT event_id, CAST(event_id % 10 AS VARCHAR) AS value FROM events")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    digit = F.element_at(F.array(*map(F.lit, "零一二三四五六七八九")), (F.col("event_id") % 10 + 1).cast("int"))
+    return read(spark, d, "events").select("event_id", numbers.number_value(digit).alias("value"))
