@@ -25,9 +25,10 @@ def marks_of(text: Column) -> Column:
 
 def marks_lost(source: Column, refined: Column) -> Column:
     """Whether the source's marks are no longer a subsequence of the rewrite's: a fold that walks one list along the other."""
-    wanted = marks_of(source)
-    met = F.aggregate(marks_of(refined), F.lit(0), lambda i, m: F.when(F.try_element_at(wanted, i + 1) == m, i + 1).otherwise(i))
-    return met < F.size(wanted)
+    # what is left to meet is part of the state, so that it is found once
+    start = F.struct(marks_of(source).alias("marks"), F.lit(0).alias("met"))
+    step = lambda s, m: F.struct(s["marks"].alias("marks"), F.when(F.try_element_at(s["marks"], s["met"] + 1) == m, s["met"] + 1).otherwise(s["met"]).alias("met"))
+    return F.aggregate(marks_of(refined), start, step, lambda s: s["met"] < F.size(s["marks"]))
 
 
 def boundary_anomalies(text: Column) -> Column:

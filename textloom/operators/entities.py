@@ -25,8 +25,10 @@ def length_similarity(a: Column, b: Column) -> Column:
 
 
 def _bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    at = F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1)))
-    return df.select(key, F.explode(at).alias("at"), text).select(key, "at", F.substring(F.lower(text), F.col("at"), F.lit(2)).alias("g"))
+    chars = F.filter(F.split(F.lower(text), ""), lambda c: c != "")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("c") - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.col("c"), i, 2), ""))
+    each = df.select(key, chars.alias("c")).where(F.size("c") > 0).select(key, F.posexplode(grams).alias("at", "g"))
+    return each.select(key, (F.col("at") + 1).alias("at"), "g")
 
 
 def places(texts: DataFrame, entities: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import numbers, pieces, policy, quantities, repeats, verdicts
-from textloom.operators import classify, entities, select, simjoin
+from textloom.operators import entities, select, simjoin
 from textloom.plans.registry import query
 from textloom.sources import records
 from textloom.sources.tables import read
@@ -209,16 +209,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f37_fuzzy_matches")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    named = read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity_id"), F.min("p_type").alias("entity_type"), F.max("p_size").alias("priority"))
-    entities_ = named.withColumn("domain", F.lit("parts"))
+    named = spark.createDataFrame([(1, "cold widget", "part", "parts", 20), (2, "small gadget", "part", "other", 0)], "entity_id int, name string, entity_type string, domain string, priority int")
     heard = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.replace("p_name", F.lit("widget"), F.lit("wigdet")).alias("text"))
-    return entities.fuzzy_matches(heard, entities_, "parts").select("id", "entity_id", "start", "length", F.round("score", 9).alias("score"), "action")
-
-
-@query("ml1_text_classifier")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(read(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "id")
-    return classify.classify(classify.fit_classifier(rows), rows).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return entities.fuzzy_matches(heard, named, "parts").select("id", "entity_id", "start", "length", F.round("score", 9).alias("score"), "action")
 
 
 @query("p13_unsupported_edits")
