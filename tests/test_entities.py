@@ -46,6 +46,19 @@ def test_fuzzy_matches(spark):
     assert [r.e for r in edges.collect()] == [False, True, False, True]
 
 
+def test_texts_are_not_broadcast(spark, tmp_path):
+    spark.range(50).selectExpr("id", "concat('a cold wigdet ', id) AS text").write.parquet(str(tmp_path / "texts"))
+    names = spark.createDataFrame([(1, "cold widget")], "entity_id int, name string")
+    plan = entities.places(spark.read.parquet(str(tmp_path / "texts")), names)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = line.index("BroadcastExchange")
+            below = next((j for j in range(i + 1, len(lines)) if len(lines[j]) - len(lines[j].lstrip(" :|+-")) <= depth), len(lines))
+            assert not any("FileScan" in x for x in lines[i:below])
+    assert "BroadcastExchange" in plan and "SortMergeJoin" in plan
+
+
 def test_classifier(spark):
     rnd = random.Random(4)
     words = ["river stone cloud window".split(), "invoice payment refund order".split()]

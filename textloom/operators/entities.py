@@ -33,14 +33,15 @@ def _bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def places(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """``texts`` (id, text), ``entities`` (entity_id, name): (id, entity_id, start, length, observed) of stretches that share a
-    bigram with a name where the name would stand, of about its length."""
+    bigram with a name where the name would stand, of about its length.  The library goes to the texts; these are joined by
+    sorting, since a copy of them for the driver and each executor would grow with the table."""
     named = entities.select("entity_id", "name").where(F.length("name") > 0)
     mine, theirs = _bigrams(texts.where(F.length("text") > 0), "id", "text"), _bigrams(named, "entity_id", "name").withColumnRenamed("at", "name_at")
-    starts = mine.join(theirs, "g").select("id", "entity_id", (F.col("at") - F.col("name_at")).alias("start")).distinct()
-    sized = starts.join(named, "entity_id").withColumn("n", F.length("name"))
+    starts = mine.join(F.broadcast(theirs), "g").select("id", "entity_id", (F.col("at") - F.col("name_at")).alias("start")).distinct()
+    sized = starts.join(F.broadcast(named), "entity_id").withColumn("n", F.length("name"))
     spread = F.sequence(-slack(F.col("n")), slack(F.col("n")))
     each = sized.withColumn("d", F.explode(spread)).withColumn("length", F.col("n") + F.col("d")).where("length > 0 and start >= 0")
-    cut = each.join(texts, "id").where(F.col("start") + F.col("length") <= F.length("text"))
+    cut = each.join(texts.hint("merge"), "id").where(F.col("start") + F.col("length") <= F.length("text"))
     return cut.select("id", "entity_id", "start", "length", F.substring(F.col("text"), F.col("start") + 1, F.col("length")).alias("observed"))
 
 
@@ -50,7 +51,7 @@ def fuzzy_matches(texts: DataFrame, entities: DataFrame, domain: str, sounds: Da
 
     ``entities`` (entity_id, name, entity_type, domain, priority); ``sounds`` (text, sounds array<string>) gives syllables, and
     spelling stands for them where it has none.  Rivals are names of other entities at overlapping places."""
-    found = places(texts, entities.select("entity_id", "name")).join(entities, "entity_id").where(F.lower("observed") != F.lower("name"))
+    found = places(texts, entities.select("entity_id", "name")).join(F.broadcast(entities), "entity_id").where(F.lower("observed") != F.lower("name"))
     char = similarity(F.lower("observed"), F.lower("name"))
     if sounds is not None:
         found = found.join(sounds.toDF("observed", "heard"), "observed", "left").join(sounds.toDF("name", "spoken"), "name", "left")
@@ -65,7 +66,7 @@ def fuzzy_matches(texts: DataFrame, entities: DataFrame, domain: str, sounds: Da
     top = top.select("id", "entity_id", "name", "entity_type", "start", "length", "observed", "sound", "score")
     rivals = top.select(F.col("id").alias("rid"), F.col("entity_id").alias("rival"), F.col("start").alias("rs"), F.col("length").alias("rl"), F.col("score").alias("rival_score"))
     meets = (F.col("id") == F.col("rid")) & (F.col("entity_id") != F.col("rival")) & (F.col("start") < F.col("rs") + F.col("rl")) & (F.col("rs") < F.col("start") + F.col("length"))
-    margin = top.join(rivals, meets, "left").groupBy(*top.columns).agg((F.col("score") - F.coalesce(F.max("rival_score"), F.lit(0.0))).alias("margin"))
+    margin = top.join(rivals.hint("merge"), meets, "left").groupBy(*top.columns).agg((F.col("score") - F.coalesce(F.max("rival_score"), F.lit(0.0))).alias("margin"))
     trusted = F.lit(True) if allowed is None else F.col("entity_type").isin(allowed)
     sure = (F.col("score") >= AUTO) & (F.col("sound") >= AUTO_SOUND) & (F.col("margin") >= MARGIN) & trusted
     return margin.withColumn("action", F.when(sure, "auto").when(F.col("score") >= HINT, "hint").otherwise("none"))
