@@ -3,6 +3,7 @@
 import random
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,30 @@ def test_similar_pairs_and_first_wins(spark, threshold):
     assert sorted(r.id for r in simjoin.first_wins(items.select("id"), pairs).where("kept").collect()) == kept
 
 
+def test_similar_pairs_of_several_blocks(spark):
+    rnd = np.random.default_rng(5)
+    base = ["".join(rnd.choice(list("abcd"), 60)) for _ in range(40)]
+    texts = []
+    for i in range(3 * simjoin.BLOCK // 2):  # all texts share most grams; edits of one base are similar
+        t = list(base[i % 40])
+        for at in rnd.integers(0, 60, rnd.integers(0, 12)):
+            t[at] = rnd.choice(list("abcdé"))
+        texts.append("".join(t))
+    names = sorted(set().union(*map(simjoin.gram_set, texts)))
+    at = {g: i for i, g in enumerate(names)}
+    x = np.zeros((len(texts), len(names)), np.float32)
+    for i, t in enumerate(texts):
+        x[i, [at[g] for g in simjoin.gram_set(t)]] = 1
+    both = x @ x.T
+    size = x.sum(1)
+    linked = np.triu(both >= 0.75 * (size[:, None] + size - both) - 1e-6, 1)
+    items = spark.createDataFrame([(i, "full", t) for i, t in enumerate(texts)], "id long, part string, text string")
+    got = np.array([(r.a, r.b) for r in simjoin.similar_pairs(items).collect()])
+    assert len(got) == linked.sum() and linked[got[:, 0], got[:, 1]].all()
+    # what is compared goes by blocks: nothing is joined on grams
+    assert simjoin._block_pairs(items, 0.75, 3).count() <= 10
+
+
 def test_fragments_do_not_meet_full_rows(spark):
     items = spark.createDataFrame([(0, "full", "abcdefgh"), (1, "part", "abcdefgh")], "id long, part string, text string")
     assert simjoin.near_dedup(items).where("kept").count() == 2
