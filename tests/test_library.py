@@ -78,6 +78,24 @@ def test_lsh_pairs_are_confirmed(spark):
     assert all((i, j) in got for j in range(len(texts)) for i in range(j) if texts[i] == texts[j])
 
 
+def test_linked_items_count_copies(spark):
+    texts = [t for t in _strings() if t.strip()] + ["", "  ", None] + ["abcdefghabcdefghabcd"] * 30 + [" abcdefghabcdefghabcd ", "abcdefghabcdefghabcdx"]
+    items = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    linked = {i: {j for j in range(len(texts)) if j != i and texts[i] and texts[j] and _jaccard(texts[i], texts[j]) >= 0.75} for i in range(len(texts))}
+    component = {}
+    for i in range(len(texts)):
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (new := linked[todo.pop()] - seen)
+            seen |= new
+        component[i] = min(seen)
+    out = simjoin.linked_items(items, lambda x: simjoin.similar_pairs(x.withColumn("part", F.lit("full")))).collect()
+    assert {(r.id, r.component_id, r.n_links) for r in out} == {(i, component[i], len(linked[i])) for i in range(len(texts))}
+    assert all(r.class_id == next(j for j, t in enumerate(texts) if t == texts[r.id] or t and texts[r.id] and t.strip() == texts[r.id].strip()) for r in out if texts[r.id] and texts[r.id].strip())
+    lsh = {r.id: r.n_links for r in simjoin.linked_items(items, simjoin.lsh_pairs).collect()}
+    assert lsh[len(texts) - 3] >= 30 and lsh[texts.index("")] == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (7, 8), (8, 6)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.id: r.component for r in simjoin.components(spark.createDataFrame(edges, "a long, b long")).collect()}
