@@ -858,3 +858,12 @@ def test_token_files(docs, rows, none, spark):
         at += len(ids)
     assert got == want
     assert tokens.token_files(none, path).count() == 0
+
+
+def test_space_is_fitted_on_all_documents(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"word{i} other{i % 7} third{i % 11}") for i in range(300)], "doc_id long, text string")
+    idf = np.ones(1 << decontaminate.SLOT_BITS)
+    want = decontaminate.latent_words(frame, idf, 300)
+    monkeypatch.setattr(decontaminate, "FITTED", 30, raising=False)  # no number of half passages bounds the fit
+    got = decontaminate.latent_words(frame, idf, 300)
+    assert got.shape == want.shape and np.allclose(got @ got[:50].T, want @ want[:50].T, atol=1e-3)

@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 
 from . import sums
 from . import wordhash as wh
-from .common import documents_view, map_arrow, scratch, text_steps, written
+from .common import documents_view, map_arrow, text_steps
 
 #: Bytes of text taken at a time: a word becomes a row of up to ITEMS numbers here.
 STEP = 1 << 17
 #: Benchmark items in one scan (more are taken in blocks), items whose words are counted at a time, words of half a passage.
 ITEMS, CHUNK, HALF = 20_000, 224, 32
-#: The TF-IDF matrix: bits of a column's number (words are hashed to columns), singular directions kept, and half passages that
-#: the directions are fitted on at most.
-SLOT_BITS, RANK, FITTED = 14, 48, 200_000
-#: Tasks that fit the space.
-FIT_TASKS = 16
+#: The TF-IDF matrix: bits of a column's number (words are hashed to columns), and singular directions kept.
+SLOT_BITS, RANK = 14, 48
+#: Tasks at most that fit the space on all documents; each sends one sum of 4 MB, so their disk does not grow.
+FIT_TASKS = 32
+#: Half passages that make a task of its own worth while.
+TASK_HALVES = 1000
 #: A word in more than this share of half passages is no term.
 COMMON = 0.05
 #: Share of an item's words that must stand in order: alone, or with this share of its answer words present, or with these in a
@@ -123,21 +124,15 @@ def latent_words(docs: DataFrame, idf: np.ndarray, halves: float) -> np.ndarray:
 
     A randomised singular value decomposition (Halko, Martinsson and Tropp): A'A times ``RANK`` + 16 random directions spans
     nearly what the leading right singular vectors span; within that basis they and the singular values are exact.  Texts are
-    folded in, each coordinate divided by its singular value.  The space is fitted on at most about ``FITTED`` half passages, of
-    the documents first by a hash of their text; what is searched in it is everything."""
-    some = docs.select(F.col("text").cast("string").alias("text"))
-    if (share := FITTED / max(1.0, halves)) < 1:
-        some = some.where(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    folded in, each coordinate divided by its singular value.  The space is fitted on the half passages of all documents."""
+    whole = docs.select(F.col("text").cast("string").alias("text")).coalesce(max(1, min(FIT_TASKS, int(halves // TASK_HALVES))))
 
     def squared(x: np.ndarray) -> np.ndarray:
-        rows = map_arrow(sample, partial(_range, idf=idf.astype(np.float32), x=x.astype(np.float32)), "key long, block int, body binary")
+        rows = map_arrow(whole, partial(_range, idf=idf.astype(np.float32), x=x.astype(np.float32)), "key long, block int, body binary")
         return sums.added(rows, {0: x.shape}, "f4")[0].astype(np.float64)
 
-    with scratch():
-        # the sample is small whatever the table, and is read twice: by a few tasks, each of which sends one sum
-        sample = written(some.repartition(FIT_TASKS), "fitted")
-        basis, _ = np.linalg.qr(squared(np.random.default_rng(20240607).normal(size=(len(idf), RANK + 16))))
-        inner = basis.T @ squared(basis)
+    basis, _ = np.linalg.qr(squared(np.random.default_rng(20240607).normal(size=(len(idf), RANK + 16))))
+    inner = basis.T @ squared(basis)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2)
     kept = np.flatnonzero(values > max(values[-1], 0.0) * 1e-6)[::-1][:RANK]
     if not len(kept):
@@ -340,7 +335,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     without words, are never found.  Repeated rows get equal results, rows without doc_id their own; a very long text is searched
     passage by passage; an empty table gives none; other columns are not read.
 
-    The documents are read three times, once for counts, once for the space and once for the search, whatever the number of
+    The documents are read four times, once for counts, twice for the space and once for the search, whatever the number of
     items (up to ``ITEMS``), and no text is moved."""
     docs = documents_view(docs)
     blocks = list(_item_blocks(benchmark))
