@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import bilstm, decontaminate, egojoin, graph, licenses, lines, minhash, mixing, passages, pii, tokens, toxicity, wavelet
+from textloom.llm import bilstm, bloom, decontaminate, egojoin, graph, licenses, lines, minhash, mixing, passages, pii, tokens, toxicity, wavelet
 from textloom.llm import wordhash as wh
 
 BLANKS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -867,3 +867,30 @@ def test_space_is_fitted_on_all_documents(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "FITTED", 30, raising=False)  # no number of half passages bounds the fit
     got = decontaminate.latent_words(frame, idf, 300)
     assert got.shape == want.shape and np.allclose(got @ got[:50].T, want @ want[:50].T, atol=1e-3)
+
+
+def test_bloom_filters_hold_all_ids(spark):
+    ids = [None, 0, -1, 1 << 62, *range(10, 20_000, 7)]
+    held = bloom.Bloom(spark.createDataFrame([(i,) for i in ids], "id long").repartition(5))
+    assert held.may_hold(pa.array(ids, pa.int64())).tolist() == [i is not None for i in ids]
+    assert held.may_hold(pa.array(range(100_000, 200_000))).mean() < 0.01
+    assert not bloom.Bloom(spark.createDataFrame([], "id long")).may_hold(pa.array(range(100))).any()
+    rows = spark.range(9, 30).where(held.column(F.col("id"))).collect()
+    assert {10, 17, 24} <= {r.id for r in rows}
+
+
+def test_near_duplicates_move_no_text(spark, monkeypatch):
+    """Large tables are joined by sorting: texts that link with nothing stay where they lie."""
+    words = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    docs = spark.createDataFrame([*enumerate(words), (30, words[3] + " more"), (31, words[4]), (None, words[5])], "doc_id long, text string")
+    plans, write = {}, minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or write(df, name))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = minhash.keep_one(docs)
+        assert sorted((r.doc_id, r.text) for r in out.where("doc_id is not null").collect()) == list(enumerate(words))
+        assert out.where("doc_id is null").count() == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plans["sets"]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordhash as wh
+from .bloom import Bloom
 from .common import documents_view, map_arrow, release, scratch, text_steps, written
 from .graph import components
 
@@ -87,8 +88,10 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int, t: int, rows: int) ->
         yield pa.record_batch([batch.column(0), pa.array(sizes), pa.array(halves[0]), pa.array(halves[1]), lists], names=["doc_id", "n_shingles", "h1", "h2", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in text_steps(batches):
+def _sets(batches: Iterator[pa.RecordBatch], k: int, wanted: Bloom) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents whose ids the filter holds, made where the texts lie."""
+    some = (batch.filter(pa.array(wanted.may_hold(batch.column(0)))) for batch in batches)
+    for batch, data, offsets in text_steps(some):
         elements, sizes = shingle_sets(wh.Words(data, offsets, wh.BLANKS, lower=True), k)
         cuts = np.concatenate([[0], np.cumsum(sizes)])
         blobs = [elements[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -147,8 +150,9 @@ class _Linker:
             if level and members.agg(F.sum(F.col("n") - 1) <= 2 * self.LISTED * F.count("n")).first()[0]:
                 break
             if self.sets is None:
-                ids = members.select(F.col("id").alias("doc_id")).distinct()
-                self.sets = written(map_arrow(self.docs.join(ids, "doc_id", "left_semi"), partial(_sets, k=self.shingle), "id long, elements binary"), "sets")
+                # sets that the filter lets through by chance meet no pair
+                wanted = Bloom(members.select("id"))
+                self.sets = written(map_arrow(self.docs, partial(_sets, k=self.shingle, wanted=wanted), "id long, elements binary"), "sets")
             company = written(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
             rank = F.struct(F.col("company"), (-F.col("id")).alias("order"))
             leaders = written(members.join(company, "id").groupBy("key").agg(F.max(rank).alias("m")).select("key", (-F.col("m.order")).alias("a")), "leaders")
@@ -268,9 +272,14 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     names = [f"`{c}`" for c in docs.columns]
     with scratch() as keep:
         groups = near_duplicates(docs, shingle, percent)
-        kept = keep(written(groups.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).where("kept").select("doc_id", "rows"), "kept"))
-    out = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(*names)
-    often = kept.where("rows > 1").select("doc_id")
+        told = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+        rest = keep(written(told.where("not kept or rows > 1"), "rest"))
+        out_ids = rest.select("doc_id")
+        held = Bloom(out_ids).column(F.col("doc_id"))
+    # only rows that may be among the rest are moved for the join
+    stay = docs.where("doc_id is not null")
+    out = stay.where(~held).select(*names).union(stay.where(held).join(out_ids, "doc_id", "left_anti").select(*names))
+    often = rest.where("kept").select("doc_id")
     if not often.isEmpty():
         several = docs.join(often, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.xxhash64(F.col("text")).alias("hash"), F.struct(*names).alias("row"))
         least = several.groupBy("id").agg(F.min("hash").alias("hash"))
