@@ -212,3 +212,19 @@ def test_record_sources(spark, tmp_path):
     assert [(r.id, r.reference, r.valid) for r in pairs] == [(1, "ab", True), (1, "abcd", False), (2, "x", True)]
     spark.createDataFrame([("spk-1_003", b"x", "t")], "id string, audio binary, text string").write.parquet(str(tmp_path / "audio"))
     assert records.audio_rows(spark, str(tmp_path / "audio")).first().source_group == "spk-1"
+
+
+def test_candidates_are_compared_with_the_selected_only(spark, monkeypatch):
+    """Whatever the number of candidates, pairs are sought within windows; a later round's source makes a duplicate of what an
+    earlier round found similar."""
+    rnd = random.Random(4)
+    word = lambda k: "".join(rnd.choice("abcdefghij") for _ in range(k))
+    first, second = word(40), word(40)
+    rows = [(0, "00", "A", first, "t0", 0), (1, "01", "B", word(40), "t1", 1), (2, "02", "A", second, "t2", 2), (3, "03", "A", second, "t2", 3), (4, "04", "B", first + "x", "t4", 2)]
+    rows += [(i, f"{i:02d}", "B", "same source", "same target", 7) for i in range(10, 60)]
+    quotas, sizes, pairs = {"A": 2, "B": 1}, [], select.similar_pairs
+    monkeypatch.setattr(select, "similar_pairs", lambda items, *a: sizes.append(items.count()) or pairs(items, *a))
+    frame = spark.createDataFrame(rows, "id long, rank string, category string, source string, target string, grp int").repartition(3)
+    got = select.balanced_selection(frame, spark.createDataFrame(list(quotas.items()), "category string, quota int"), spark.createDataFrame([(word(40),)], "text string"), 0.6)
+    assert {r.id: r.state for r in got.collect()} == _greedy(rows, quotas, [], 0.6)
+    assert max(sizes) <= 2 * sum(quotas.values())

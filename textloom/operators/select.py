@@ -9,7 +9,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.operators.simjoin import first_wins, similar_pairs
+from textloom.operators.simjoin import Among, first_wins, similar_pairs
 from textloom.operators.work import cut
 
 #: Rounds of the cascade that may pass without an end in sight; each decides at least one candidate.
@@ -27,9 +27,8 @@ def heldout_overlap(candidates: DataFrame, heldout: DataFrame, threshold: float
     texts = candidates.select("id", F.explode(F.array("source", "target")).alias("text"))
     exact = texts.join(heldout.select("text").distinct(), "text", "left_semi").select("id").distinct().withColumn("overlap", F.lit("exact"))
     numbered = cut(texts.select("id", "text").distinct().withColumn("n", F.monotonically_increasing_id()), "texts")
-    known = heldout.select("text").distinct().select((-1 - F.monotonically_increasing_id()).alias("id"), F.lit("").alias("part"), "text")
-    both = cut(known.union(numbered.select(F.col("n").alias("id"), F.lit("").alias("part"), "text")), "both")
-    pairs = similar_pairs(both, threshold, n).where("a < 0 and b >= 0").select(F.col("b").alias("n"))
+    known = cut(heldout.select("text").distinct().withColumn("id", F.monotonically_increasing_id()), "heldout")
+    pairs = Among(numbered.select(F.col("n").alias("id"), "text"), threshold, n).like(known).select(F.col("b").alias("n"))
     near = numbered.join(pairs.distinct(), "n").select("id").distinct().join(exact, "id", "left_anti").withColumn("overlap", F.lit("near"))
     return exact.union(near)
 
@@ -43,7 +42,8 @@ def balanced_selection(candidates: DataFrame, quotas: DataFrame, heldout: DataFr
 
     That is a sequential walk, done in rounds: of each open category the next candidates, as many as it may still take, decide
     among themselves (``first_wins`` over shared sources, groups and similarity), up to the rank where the first of these
-    windows ends, beyond which a category might offer others."""
+    windows ends, beyond which a category might offer others.  Only the selected are compared with all candidates, so the work
+    is the quotas' sum times the candidates', and copies are joined on what they share with a selected one, never in pairs."""
     ranked = candidates.withColumn("place", F.struct("rank", "id"))
     several = ranked.groupBy("source").agg(F.min("target").alias("low"), F.max("target").alias("high")).where("low <> high").select("source")
     quarantined = cut(ranked.join(several, "source", "left_semi").select("id", F.lit("quarantined").alias("state")), "quarantined")
@@ -53,35 +53,36 @@ def balanced_selection(candidates: DataFrame, quotas: DataFrame, heldout: DataFr
     left = open_.join(overlap, "id", "left_anti").repartitionByRange("rank", "id").sortWithinPartitions("rank", "id")
     left = cut(left.select("id", "category", "source", "target", "grp", F.monotonically_increasing_id().alias("no")), "ranked")
     texts = cut(left.select("no", F.explode(F.array_distinct(F.array("source", "target"))).alias("text")).withColumn("t", F.monotonically_increasing_id()), "texts")
-    alike = similar_pairs(texts.select(F.col("t").alias("id"), F.lit("").alias("part"), "text"), threshold, n)
-    of = texts.select("t", "no")
-    near = alike.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(1).alias("kind"))
-    def shared(c: str) -> DataFrame:
-        own = left.select("no", c)
-        return own.toDF("a", c).join(own.toDF("b", c), c).where("a < b").select("a", "b", F.lit(0).alias("kind"))
-
-    links = cut(near.union(shared("source")).union(shared("grp")).groupBy("a", "b").agg(F.min("kind").alias("kind")), "links")
-    state = cut(left.select("no", "category", F.lit(None).cast("string").alias("state")), "state")
-    room = quotas.select("category", "quota")
+    among = Among(texts.select(F.col("t").alias("id"), "text"), threshold, n)
+    state = left.select("no", "category", F.lit(False).alias("chosen"), F.lit(None).cast("int").alias("kind"))
     for _ in range(ROUNDS):
-        taken = state.where("state = 'selected'").groupBy("category").agg(F.count("no").alias("taken"))
-        # a candidate linked with a selected one before it is settled, whatever the quotas
-        chosen = state.where("state = 'selected'").select(F.col("no").alias("a"))
-        beaten = links.join(chosen, "a").groupBy(F.col("b").alias("no")).agg(F.min("kind").alias("kind"))
-        state = state.join(beaten, "no", "left").select("no", "category", F.coalesce("state", F.when(F.col("kind") == 0, "duplicate").when(F.col("kind") == 1, "near_duplicate")).alias("state"))
-        spare = state.join(F.broadcast(room), "category", "left").join(F.broadcast(taken), "category", "left").withColumn("spare", F.coalesce("quota", F.lit(0)) - F.coalesce("taken", F.lit(0)))
-        spare = cut(spare.select("no", "category", "state", "spare"), "state")
-        state = spare.select("no", "category", "state")
-        undecided = spare.where("state is null").withColumn("turn", F.row_number().over(Window.partitionBy("category").orderBy("no"))).where(F.col("turn") <= F.col("spare"))
-        horizon = undecided.groupBy("category").agg(F.max("no").alias("last")).agg(F.min("last")).first()[0]
+        taken = state.where("chosen").groupBy("category").agg(F.count("no").alias("taken"))
+        spare = state.where("not chosen and kind is null").join(F.broadcast(quotas.select("category", "quota")), "category", "left").join(F.broadcast(taken), "category", "left")
+        spare = spare.withColumn("spare", F.coalesce("quota", F.lit(0)) - F.coalesce("taken", F.lit(0))).where("spare > 0")
+        turns = cut(spare.withColumn("turn", F.row_number().over(Window.partitionBy("category").orderBy("no"))).where(F.col("turn") <= F.col("spare")).select("no", "category"), "turns")
+        horizon = turns.groupBy("category").agg(F.max("no").alias("last")).agg(F.min("last")).first()[0]
         if horizon is None:
             break
-        window = undecided.where(F.col("no") <= horizon).select(F.col("no").alias("id"))
-        inside = links.join(window.toDF("a"), "a", "left_semi").join(window.toDF("b"), "b", "left_semi").select("a", "b")
-        won = cut(first_wins(window, inside).where("kept").select(F.col("id").alias("no"), F.lit("selected").alias("now")), "won")
-        state = cut(state.join(won, "no", "left").select("no", "category", F.coalesce("state", "now").alias("state")), "state")
+        window = turns.where(F.col("no") <= horizon).select("no")
+        open_ = cut(left.join(window, "no", "left_semi").select("no", "source", "grp"), "window")
+        inside = [open_.select(F.col("no").alias("a"), c).join(open_.select(F.col("no").alias("b"), c), c).where("a < b").select("a", "b") for c in ("source", "grp")]
+        own = cut(texts.join(window, "no", "left_semi"), "own")
+        alike = similar_pairs(own.select(F.col("t").alias("id"), F.lit("").alias("part"), "text"), threshold, n)
+        alike = alike.join(own.select(F.col("t").alias("a"), F.col("no").alias("x")), "a").join(own.select(F.col("t").alias("b"), F.col("no").alias("y")), "b")
+        links = cut(inside[0].union(inside[1]).union(alike.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))), "links")
+        won = cut(first_wins(window.select(F.col("no").alias("id")), links).where("kept").select(F.col("id").alias("no")), "won")
+        # what these settle, whatever the quotas: candidates behind them with their source or group, or similar
+        chosen = open_.join(won, "no", "left_semi")
+        same = [left.select("no", c).join(chosen.groupBy(c).agg(F.min("no").alias("a")), c).where("a < no").select("no", F.lit(0).alias("kind")) for c in ("source", "grp")]
+        winners = own.join(won, "no", "left_semi")
+        near = among.like(winners.select(F.col("t").alias("id"), "text")).join(winners.select(F.col("t").alias("a"), F.col("no").alias("x")), "a")
+        near = near.join(texts.select(F.col("t").alias("b"), "no"), "b").where("x < no").select("no", F.lit(1).alias("kind"))
+        beaten = same[0].union(same[1]).union(near).groupBy("no").agg(F.min("kind").alias("by"))
+        state = state.join(beaten, "no", "left").join(won.withColumn("now", F.lit(True)), "no", "left")
+        state = cut(state.select("no", "category", (F.col("chosen") | F.coalesce("now", F.lit(False))).alias("chosen"), F.least("kind", "by").alias("kind")), "state")
     # what is left of full categories was never beaten
-    done = left.select("no", "id").join(state, "no").select("id", F.coalesce("state", F.lit("reserve")).alias("state"))
+    named = F.when(F.col("chosen"), "selected").when(F.col("kind") == 0, "duplicate").when(F.col("kind") == 1, "near_duplicate").otherwise("reserve")
+    done = left.select("no", "id").join(state, "no").select("id", named.alias("state"))
     return done.union(overlap).union(quarantined)
 
 
