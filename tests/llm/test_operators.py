@@ -869,6 +869,24 @@ def test_space_is_fitted_on_all_documents(spark, monkeypatch):
     assert got.shape == want.shape and np.allclose(got @ got[:50].T, want @ want[:50].T, atol=1e-3)
 
 
+def test_half_passages_are_multiplied(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(0, 33, 200)
+    slots = np.minimum(rng.zipf(1.5, int(sizes.sum())), 400).astype(np.uint16)  # some columns often enough to be dense, others rare
+    counts = np.zeros((200, 401))
+    np.add.at(counts, (np.repeat(np.arange(200), sizes), slots), 1)
+    x, out = rng.normal(size=(401, 7)).astype(np.float32), np.ones((401, 7))
+    decontaminate._multiplied(slots, sizes, x, out)
+    assert np.allclose(out, 1 + counts.T @ (counts @ x), rtol=1e-4, atol=1e-3)
+    # texts are cut into words once for the counts and the space
+    frame = spark.createDataFrame([(i, f"word{i} other{i % 7} third{i % 11}") for i in range(300)] + [(300, None), (301, "")], "doc_id long, text string")
+    seen, fit = [], decontaminate.latent_words
+    monkeypatch.setattr(decontaminate, "latent_words", lambda docs, idf, halves: seen.append((docs.columns, fit(docs, idf, halves), fit(frame, idf, halves))) or seen[-1][1])
+    decontaminate.telling_words(frame, [(1, "word1 other2")])
+    columns, got, want = seen[0]
+    assert "text" not in columns and got.shape == want.shape and np.allclose(got @ got[:50].T, want @ want[:50].T, atol=1e-3)
+
+
 def test_bloom_filters_hold_all_ids(spark):
     ids = [None, 0, -1, 1 << 62, *range(10, 20_000, 7)]
     held = bloom.Bloom(spark.createDataFrame([(i,) for i in ids], "id long").repartition(5))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import sums
 from . import wordhash as wh
-from .common import documents_view, map_arrow, text_steps
+from .common import documents_view, map_arrow, scratch, text_steps, written
 
 #: Bytes of text taken at a time: a word becomes a row of up to ITEMS numbers here.
 STEP = 1 << 17
@@ -23,8 +23,10 @@ ITEMS, CHUNK, HALF = 20_000, 224, 32
 SLOT_BITS, RANK = 14, 48
 #: Tasks at most that fit the space on all documents; each sends one sum of 4 MB, so their disk does not grow.
 FIT_TASKS = 32
-#: Half passages that make a task of its own worth while.
-TASK_HALVES = 1000
+#: Half passages that make a task of its own worth while, and that are multiplied at a time.
+TASK_HALVES, GROUP = 1000, 1024
+#: A column that a group has more often is multiplied as a dense row.
+DENSE = 48
 #: A word in more than this share of half passages is no term.
 COMMON = 0.05
 #: Share of an item's words that must stand in order: alone, or with this share of its answer words present, or with these in a
@@ -77,46 +79,93 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-#: Keys of the sums that one scan for frequencies makes.
-_HALVES, _TERMS, _SLOTS = range(3)
+#: Keys of the rows that one scan for frequencies makes: sums, and the columns of each half passage's words.
+_HALVES, _TERMS, _SLOTS, _WORDS = range(4)
+
+
+def _packed(slots: np.ndarray, half: np.ndarray, n: int) -> list[pa.Array]:
+    return [pa.array([x.tobytes()], pa.binary()) for x in (slots.astype(np.uint16), np.bincount(half, minlength=n).astype(np.uint8))]
+
+
+def _columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns of each step's words, two bytes each, and how many of them each half passage has."""
+    for _, data, offsets in text_steps(batches, step=STEP, lower=True):
+        words = wh.Words(data, offsets, wh.NOT_ALNUM, lower=True)
+        half, first = _halves(words)
+        yield pa.record_batch(_packed(_slots(words.hashes), half, int(first[-1])), names=["body", "sizes"])
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
-    """A task's number of half passages, and of those that hold each term and each column's words."""
+    """A task's number of half passages, and of those that hold each term and each column's words; and for each step what
+    ``_columns`` tells."""
     totals = {_HALVES: np.zeros(1), _TERMS: np.zeros(len(items.terms) + 1), _SLOTS: np.zeros(1 << SLOT_BITS)}
     for _, data, offsets in text_steps(batches, step=STEP, lower=True):
         words = wh.Words(data, offsets, wh.NOT_ALNUM, lower=True)
         half, first = _halves(words)
         totals[_HALVES] += int(first[-1])
-        term = items.find(words.hashes)
+        term, slot = items.find(words.hashes), _slots(words.hashes)
         there = np.flatnonzero(term >= 0)
-        for key, of, column in ((_TERMS, half[there], term[there]), (_SLOTS, half, _slots(words.hashes))):
+        for key, of, column in ((_TERMS, half[there], term[there]), (_SLOTS, half, slot)):
             width = len(totals[key])
-            totals[key] += np.bincount(np.unique(of * width + column) % width, minlength=width)
+            both = of * width + column
+            both = np.sort(both.astype(np.int32) if int(first[-1]) * width < 1 << 31 else both)
+            totals[key] += np.bincount(both[np.r_[True, both[1:] != both[:-1]][: len(both)]] % width, minlength=width)
+        body, sizes = _packed(slot, half, int(first[-1]))
+        yield pa.record_batch([pa.array([_WORDS], pa.int64()), pa.array([0], pa.int32()), body, sizes], names=["key", "block", "body", "sizes"])
     for key, total in totals.items():
-        yield from sums.blocks(key, total)
+        for rows in sums.blocks(key, total):
+            yield rows.append_column("sizes", pa.nulls(1, pa.binary()))
 
 
 # -- the latent space
 
 
+def _multiplied(slots: np.ndarray, sizes: np.ndarray, x: np.ndarray, out: np.ndarray) -> None:
+    """Add C'C x to ``out``, where C counts the words of each column (``slots``) in each half passage (``sizes`` words)."""
+    first = np.cumsum(sizes) - sizes
+    rows = np.zeros((len(sizes), x.shape[1]), np.float32)
+    for j in range(int(sizes.max(initial=0))):
+        at = np.flatnonzero(sizes > j)
+        rows[at] += x[slots[first[at] + j]]
+    half = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(slots, kind="stable")
+    slots, half = slots[order], half[order]
+    cuts = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])
+    count = np.diff(np.append(cuts, len(slots)))
+    often = np.repeat(count > DENSE, count)
+    if often.any():
+        names, row = np.unique(slots[often], return_inverse=True)
+        dense = np.bincount(row * len(sizes) + half[often], minlength=len(names) * len(sizes)).reshape(len(names), -1)
+        out[names] += dense.astype(np.float32) @ rows
+    # the others: each column's first word, then the second ones, so that no column comes twice at a time
+    cuts, count = cuts[count <= DENSE], count[count <= DENSE]
+    for j in range(int(count.max(initial=0))):
+        at = cuts[count > j] + j
+        out[slots[at]] += rows[half[at]]
+
+
 def _range(batches: Iterator[pa.RecordBatch], idf: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A task's part of A'A x, where A has a row for each half passage and a column for each slot."""
-    out = np.zeros(x.shape, np.float64)
-    weighed = x * idf[:, None]
-    for _, data, offsets in text_steps(batches, step=STEP, lower=True):
-        words = wh.Words(data, offsets, wh.NOT_ALNUM, lower=True)
-        half, _ = _halves(words)
-        slot = _slots(words.hashes)
-        used = np.flatnonzero(idf[slot] > 0)
-        if not len(used):
-            continue
-        slot, new = slot[used], np.r_[True, half[used][1:] != half[used][:-1]]
-        rows = np.add.reduceat(weighed[slot], np.flatnonzero(new), axis=0)[np.cumsum(new) - 1]
-        order = np.argsort(slot, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(slot[order]) != 0])
-        out[slot[order][cuts]] += np.add.reduceat(rows[order], cuts, axis=0) * idf[slot[order][cuts]][:, None]
-    yield from sums.blocks(0, out.astype(np.float32))
+    out = np.zeros(x.shape, np.float32)
+    weighed, there = x * idf[:, None], idf > 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def settled() -> None:
+        _multiplied(*(np.concatenate(c) for c in zip(*held, strict=True)), weighed, out)
+        held.clear()
+
+    for batch in batches:
+        for body, sizes in zip(batch.column(0), batch.column(1), strict=True):
+            slots, sizes = np.frombuffer(body.as_buffer(), np.uint16), np.frombuffer(sizes.as_buffer(), np.uint8).astype(np.int64)
+            used = there[slots]
+            before = np.concatenate([np.zeros(1, np.int64), np.cumsum(used)])
+            ends = np.cumsum(sizes)
+            held.append((slots[used], before[ends] - before[ends - sizes]))
+            if sum(len(n) for _, n in held) >= GROUP:
+                settled()
+    if held:
+        settled()
+    yield from sums.blocks(0, out * idf[:, None])
 
 
 def latent_words(docs: DataFrame, idf: np.ndarray, halves: float) -> np.ndarray:
@@ -124,8 +173,11 @@ def latent_words(docs: DataFrame, idf: np.ndarray, halves: float) -> np.ndarray:
 
     A randomised singular value decomposition (Halko, Martinsson and Tropp): A'A times ``RANK`` + 16 random directions spans
     nearly what the leading right singular vectors span; within that basis they and the singular values are exact.  Texts are
-    folded in, each coordinate divided by its singular value.  The space is fitted on the half passages of all documents."""
-    whole = docs.select(F.col("text").cast("string").alias("text")).coalesce(max(1, min(FIT_TASKS, int(halves // TASK_HALVES))))
+    folded in, each coordinate divided by its singular value.  The space is fitted on the half passages of all documents:
+    ``docs`` (text), or (body, sizes) as ``_columns`` tells them."""
+    if "text" in docs.columns:
+        docs = map_arrow(docs.select(F.col("text").cast("string").alias("text")), _columns, "body binary, sizes binary")
+    whole = docs.select("body", "sizes").coalesce(max(1, min(FIT_TASKS, int(halves // TASK_HALVES))))
 
     def squared(x: np.ndarray) -> np.ndarray:
         rows = map_arrow(whole, partial(_range, idf=idf.astype(np.float32), x=x.astype(np.float32)), "key long, block int, body binary")
@@ -172,8 +224,8 @@ class Telling:
         self.latent = np.array([words[_slots(w)].sum(0) for w in items.words], np.float32).reshape(len(items.words), words.shape[1])
         #: how many of an item's telling words must stand in a stretch for ``judge`` to accept it: without the answer, and with
         #: that many of its words
-        self.need, self.loose = (np.array([share * len(core) if core else np.inf for core in self.core]) for share in (PARAPHRASE, LOOSE))
-        self.answered = np.array([ANSWERS * len(a) for a in self.answers])
+        self.need, self.loose = (np.array([np.ceil(share * len(core)) if core else 1 << 30 for core in self.core], np.int32) for share in (PARAPHRASE, LOOSE))
+        self.answered = np.array([max(1, np.ceil(ANSWERS * len(a))) for a in self.answers], np.int32)
         self.chunks = [np.arange(a, min(a + CHUNK, len(self.core))) for a in range(0, len(self.core), CHUNK)]
 
     def counts(self, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,7 +257,11 @@ class Telling:
         both = [x for x in region if x in held]
         if not core or len(both) < LOOSE * len(core):
             return False, 0.0
-        answered = len(self.answers[item].intersection(both)) >= ANSWERS * len(self.answers[item])
+        found = held.intersection(both)
+        answered = len(self.answers[item] & found) >= ANSWERS * len(self.answers[item])
+        # no more can stand in order than stand there at all
+        if min(len(both), sum(x in found for x in core)) < (LOOSE if answered else COPY) * len(core):
+            return False, 0.0
         share = common_subsequence(core, both) / len(core)
         # a candidate by its cosine is judged by words; both must hold, so the cheaper one is asked first
         if share < (LOOSE if answered else COPY):
@@ -232,6 +288,7 @@ def _found(batches: Iterator[pa.RecordBatch], telling: Telling) -> Iterator[tupl
         if not used.size:
             yield batch, found
             continue
+        slots, known_terms, there_terms = _slots(words.hashes), term[known], term[there]
         h = half[used]
         starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         doc = np.repeat(np.arange(n), np.diff(first))
@@ -255,7 +312,7 @@ def _found(batches: Iterator[pa.RecordBatch], telling: Telling) -> Iterator[tupl
                 rows = slice(a, a + 4096)
                 hit = held[high[rows]] - held[low[rows]] >= telling.need[chunk]
                 # fewer words, but the answer among them and all close together
-                near = np.argwhere(answered[close[rows]] - answered[begin[rows]] >= np.maximum(telling.answered[chunk], 1))
+                near = np.argwhere(answered[close[rows]] - answered[begin[rows]] >= telling.answered[chunk])
                 if len(near):
                     i, j = near.T
                     enough = held[close[rows][i], j] - held[begin[rows][i], j] >= telling.loose[chunk][j]
@@ -265,12 +322,12 @@ def _found(batches: Iterator[pa.RecordBatch], telling: Telling) -> Iterator[tupl
                     item, d = int(chunk[at_]), int(begin_doc[a + i])
                     at = int(words.first[d]) + (int(begin[a + i]) - int(first[d])) * HALF
                     left, right = max(int(words.first[d]), at - longest), min(int(words.first[d + 1]), at + 2 * HALF + longest)
-                    seen = known if telling.plain[item] else there
+                    seen, terms = (known, known_terms) if telling.plain[item] else (there, there_terms)
                     x, y = np.searchsorted(seen, (left, right))
                     if done.get(item) == (d, x, y):
                         continue
                     done[item] = (d, x, y)
-                    yes, share = telling.judge(item, term[seen[x:y]].tolist(), _slots(words.hashes[left:right]))
+                    yes, share = telling.judge(item, terms[x:y].tolist(), slots[left:right])
                     if yes and share > found[d].get(item, 0.0):
                         found[d][item] = share
         yield batch, found
@@ -293,10 +350,12 @@ def telling_words(docs: DataFrame, rows: list[tuple[int | None, str]]) -> Tellin
     items = Items(rows)
     text = docs.select(F.col("text").cast("string").alias("text"))
     shapes = {_HALVES: (1,), _TERMS: (len(items.terms) + 1,), _SLOTS: (1 << SLOT_BITS,)}
-    counts = sums.added(map_arrow(text, partial(_frequencies, items=items), "key long, block int, body binary"), shapes)
-    n = max(1.0, float(counts[_HALVES][0]))
-    seen = np.where(counts[_SLOTS] > 0, _weights(counts[_SLOTS], n), 0.0)
-    return Telling(items, _weights(counts[_TERMS][:-1], n), latent_words(text, seen, n))
+    with scratch():
+        scan = written(map_arrow(text, partial(_frequencies, items=items), "key long, block int, body binary, sizes binary"), "halves")
+        counts = sums.added(scan.where(F.col("key") != _WORDS).select("key", "block", "body"), shapes)
+        n = max(1.0, float(counts[_HALVES][0]))
+        seen = np.where(counts[_SLOTS] > 0, _weights(counts[_SLOTS], n), 0.0)
+        return Telling(items, _weights(counts[_TERMS][:-1], n), latent_words(scan.where(F.col("key") == _WORDS), seen, n))
 
 
 def _clean(batches: Iterator[pa.RecordBatch], telling: Telling) -> Iterator[pa.RecordBatch]:
@@ -335,8 +394,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     without words, are never found.  Repeated rows get equal results, rows without doc_id their own; a very long text is searched
     passage by passage; an empty table gives none; other columns are not read.
 
-    The documents are read four times, once for counts, twice for the space and once for the search, whatever the number of
-    items (up to ``ITEMS``), and no text is moved."""
+    The documents are read twice, once for counts and once for the search, whatever the number of items (up to ``ITEMS``), and
+    no text is moved.  The first scan writes two bytes for each word, which the fit of the space reads twice."""
     docs = documents_view(docs)
     blocks = list(_item_blocks(benchmark))
     keyed = docs.withColumn("key", F.monotonically_increasing_id()) if len(blocks) > 1 else docs.withColumn("key", F.lit(0).cast("long"))
