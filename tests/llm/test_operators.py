@@ -815,6 +815,60 @@ def test_near_equal_lines_are_linked_in_any_table(spark):
         assert out[1].n_kept <= 6
 
 
+def test_edit_distances_in_a_band():
+    """Pairs told at once in a band of diagonals, and distances that stop early, against the whole table."""
+    rnd = random.Random(21)
+    one = ["".join(rnd.choice("abż😀 ") for _ in range(rnd.choice([0, 1, 2, 9, 30, 60, 110]))) for _ in range(300)]
+    two = [_edited(rnd, x, rnd.randint(0, 40)) if len(x) > 45 and rnd.random() < 0.9 else x[::-1][:5] for x in one]
+    distance = np.array([_distance(x, y) for x, y in zip(one, two, strict=True)])
+    for shift in (-1, 0, 2):
+        most = np.clip(distance + shift, 0, 31)
+        assert (lines.near_in_band(one, two, most) == (distance <= most)).all()
+        told = [lines.edit_distance(x, y, m) for x, y, m in zip(one, two, most.tolist(), strict=True)]
+        assert ((np.array(told) <= most) == (distance <= most)).all()
+
+
+def test_lines_that_may_link_share_a_part():
+    """Of the packed keys, every line stays that may link with another one of its key, and few others do."""
+    rng = np.random.default_rng(5)
+    rows = np.zeros(4000, lines._KEYED)
+    rows["key"], rows["id"], rows["size"] = rng.integers(0, 900, 4000), rng.integers(-1500, 1500, 4000), 0
+    rows["size"] = 30 + rows["id"] % 700
+    rows["place"] = (rows["key"].astype(np.int64) * 31 + rows["id"]) % rows["size"]
+    batch = pa.record_batch([pa.array([7, 7], pa.int32()), pa.array([rows[:100].tobytes(), rows[100:].tobytes()], pa.binary())], names=["part", "packed"])
+    got = {x for b in lines._shared_ids(iter([batch]), 0.9) for x in b.column(0).to_pylist()}
+    none = pa.array(np.zeros(4000, np.int64))
+    table = pa.record_batch([pa.array(rows["size"].astype(np.int64)), pa.array(rows["place"].astype(np.int64)), none, none], names=["size", "place", "kinds", "more_kinds"])
+    a, b = np.nonzero(np.triu(rows["key"][:, None] == rows["key"][None], 1))
+    other = rows["id"][a] != rows["id"][b]
+    a, b = a[other], b[other]
+    yes = lines.may_link(table, a, b, 0.9)
+    want = {*rows["id"][a[yes]].tolist(), *rows["id"][b[yes]].tolist()}
+    assert want and want <= got and len(got) < 0.8 * len(set(rows["id"].tolist()))
+
+
+def test_only_lines_that_may_link_are_looked_at_again(spark, monkeypatch):
+    """Neither whole documents nor lines that resemble no other are fetched for the comparison."""
+    seen = {}
+    real = lines.written
+
+    def written(df, name):
+        out = real(df, name)
+        seen[name] = {r.words for r in out.select("words").collect()} if "words" in out.columns else None
+        return out
+
+    monkeypatch.setattr(lines, "written", written)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstuvw") for _ in range(rnd.randint(5, 9)))
+    first = [" ".join(word() for _ in range(12)) for _ in range(40)]
+    second = [x[:30] + "z" + x[31:] for x in first]
+    other = [" ".join(word() for _ in range(12)) for _ in range(3000)]
+    rows = list(enumerate(["\n".join(first), "\n".join(second), "\n".join(other)]))
+    out = {r.doc_id: r.n_kept for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == 40 and out[1] <= 3 and out[2] == 3000
+    assert 76 <= len(seen["near"]) <= 100 and len(set(first) & seen["near"]) >= 38
+
+
 # -- 10 token files
 
 
