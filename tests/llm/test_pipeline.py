@@ -92,3 +92,16 @@ def test_entry_without_the_tokenizers():
 def test_registry_has_the_ten():
     assert [n.split("_")[0] for n in sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
     assert os.path.exists(FOLDER)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """At the end of a task, failed ones too, what it has freed goes back to the system."""
+    from textloom.llm import common
+
+    seen = []
+    monkeypatch.setattr(common, "_trim", seen.append)
+    assert list(common._tidy(iter([1, 2]), function=lambda batches: (x + 1 for x in batches))) == [2, 3] and seen == [0]
+    try:
+        list(common._tidy(iter([0]), function=lambda batches: (1 // x for x in batches)))
+    except ZeroDivisionError:
+        assert seen == [0, 0]
