@@ -168,6 +168,15 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     assert fits[0].landmarks == fits[1].landmarks and np.array_equal(fits[0].weights, fits[1].weights)
 
 
+def test_training_stays_out_of_the_driver(spark, monkeypatch):
+    """Neither the sample nor what learning takes is held by the driver: one task learns."""
+    rows = [(i, f"word{i % 7} other text grobnik{i % 3}" if i % 3 == 0 else f"word{i % 7} other text") for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "fit", None)  # tasks import the package anew
+    model = toxicity.train(docs, labels)
+    assert model.landmarks and len(model.weights) == len(model.landmarks)
+
+
 # -- 2 embeddings
 
 

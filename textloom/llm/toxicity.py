@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -346,11 +347,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     some = known.where("toxic = 1").orderBy(order).limit(TOXIC_SAMPLE).union(known.where("toxic = 0").orderBy(order).limit(CLEAN_SAMPLE))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
     # at most TOXIC_SAMPLE + CLEAN_SAMPLE ids, and so as many texts (repeated rows of an id count once)
-    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    if not any(r.toxic for r in rows) or all(r.toxic for r in rows):
-        return Model()
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    # one task learns: neither the texts nor what learning takes stay in the driver
+    found = map_arrow(rows.repartition(1), _fitted, "model binary").collect()
+    return pickle.loads(found[0].model) if found else Model()
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The machine trained on all rows (doc_id, text, toxic) of the task, pickled; no row where they lack a class."""
+    rows = sorted(x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    labels = [y for _, _, y in rows]
+    if 0 in labels and 1 in labels:
+        yield pa.record_batch([pa.array([pickle.dumps(fit([x for _, x, _ in rows], labels))], pa.binary())], names=["model"])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
