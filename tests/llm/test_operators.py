@@ -878,6 +878,43 @@ def test_only_lines_that_may_link_are_looked_at_again(spark, monkeypatch):
     assert 76 <= len(seen["near"]) <= 100 and len(set(first) & seen["near"]) >= 38
 
 
+def test_a_bucket_leaves_a_forest_not_its_pairs():
+    """Lines of one template, in one bucket: what leaves the tasks is no more than the rows, and connects what brute force does."""
+    from functools import partial
+
+    from textloom.llm import links
+
+    rnd = random.Random(5)
+    base = [rnd.choice("abcdefghij") for _ in range(60)]
+    texts = []
+    for _ in range(150):
+        x = list(base)
+        for i in rnd.sample(range(60), rnd.randint(0, 5)):
+            x[i] = rnd.choice("klmnop")
+        texts.append("".join(x))
+    texts = sorted(set(texts))
+    n = len(texts)
+    same = lambda v, kind: pa.array(np.full(n, v), kind)
+    ids = pa.array(np.arange(n))
+    rows = pa.record_batch([same(7, pa.int64()), ids, ids, same(60, pa.int32())], names=["key", "id", "comp", "size"])
+    may = lambda rows, one, two: np.ones(len(one), bool)
+    whole = graph.Forest()
+    for i in range(n):
+        for j in range(i):
+            if _distance(texts[i], texts[j]) <= 6:
+                whole.union(i, j)
+    kept = pa.Table.from_batches(links._in_buckets(iter([rows]), may, 1.2, 4096)).to_batches()[0]
+    assert kept.num_rows == n and set(kept["tile"].to_pylist()) == {7}
+    with_text = kept.append_column("text", pa.array(texts)) if hasattr(kept, "append_column") else pa.Table.from_batches([kept]).append_column("text", pa.array(texts)).to_batches()[0]
+    out = [e for b in links._linked(iter([with_text]), may, partial(lines._near, similarity=0.9), 1.2) for e in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    found = graph.Forest()
+    for a, b in out:
+        assert found.union(a, b)
+    assert len(out) > n / 2 and [found.find(i) for i in range(n)] == [whole.find(i) for i in range(n)]
+    large = pa.Table.from_batches(links._in_buckets(iter([rows]), may, 1.2, 3))  # more than a part: handed on whole
+    assert large.num_rows == n and large["tile"].null_count == n
+
+
 # -- 10 token files
 
 
