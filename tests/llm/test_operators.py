@@ -856,6 +856,51 @@ def test_lines_that_may_link_share_a_part():
     assert want and want <= got and len(got) < 0.8 * len(set(rows["id"].tolist()))
 
 
+def test_lines_of_a_key_stay_only_with_a_partner():
+    """Length, place and distance to the end must be about those of one other line, not each of another one's; the rows that stay
+    carry their key, so it is not made again."""
+    rows = np.array([(9, 1, 100, 50), (9, 2, 100, 10), (9, 3, 300, 50), (9, 4, 400, 350), (8, 5, 200, 60), (8, 6, 205, 62)], lines._KEYED)
+    batch = pa.record_batch([pa.array([3], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["part", "packed"])
+    out = pa.Table.from_batches(lines._shared_ids(iter([batch]), 0.9)).to_pylist()
+    assert sorted(r["id"] for r in out) == [5, 6]
+    assert {r["key"] for r in out} == {8 | 3 << 32} and sorted((r["size"], r["place"]) for r in out) == [(200, 60), (205, 62)]
+    many = np.zeros(1000, lines._KEYED)  # a crowded key: none is compared one by one, none is lost
+    many["key"], many["id"], many["size"], many["place"] = 4, np.arange(1000), 100, np.arange(1000) % 40
+    batch = pa.record_batch([pa.array([3], pa.int32()), pa.array([many.tobytes()], pa.binary())], names=["part", "packed"])
+    assert sum(b.num_rows for b in lines._shared_ids(iter([batch]), 0.9)) == 1000
+
+
+def test_tiles_meet_in_rounds(spark, monkeypatch):
+    """No more characters of members than all texts have meet with their texts at a time, and no link is lost by that."""
+    from textloom.llm import links
+
+    rnd = random.Random(11)
+    base = [rnd.choice("abcdefghij") for _ in range(60)]
+    texts = set()
+    while len(texts) < 60:
+        x = list(base)
+        for i in rnd.sample(range(60), rnd.randint(0, 5)):
+            x[i] = rnd.choice("klmnop")
+        texts.add("".join(x))
+    texts = sorted(texts)
+    rows = [(key, i, 60) for i in range(60) for key in range(5)]
+    may = lambda rows, one, two: np.ones(len(one), bool)
+    seen, real = [], links.written
+    monkeypatch.setattr(links, "ROUND_CHARS", 1)
+    monkeypatch.setattr(links, "written", lambda df, name: seen.append(name) or real(df, name))
+    from functools import partial
+
+    got = links.link_members(spark.createDataFrame(rows, "key long, id long, size int"), spark.createDataFrame(list(enumerate(texts)), "id long, text string"), may, partial(lines._near, similarity=0.9), 1.2)
+    whole = graph.Forest()
+    for i in range(60):
+        for j in range(i):
+            if _distance(texts[i], texts[j]) <= 6:
+                whole.union(i, j)
+    found = dict(got.collect())
+    assert [found.get(i, i) for i in range(60)] == [whole.find(i) for i in range(60)]
+    assert seen.count("links") > 2  # those of the leaders, and more than one round
+
+
 def test_only_lines_that_may_link_are_looked_at_again(spark, monkeypatch):
     """Neither whole documents nor lines that resemble no other are fetched for the comparison."""
     seen = {}
