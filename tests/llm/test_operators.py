@@ -837,6 +837,23 @@ def test_edit_distances_in_a_band():
         assert ((np.array(told) <= most) == (distance <= most)).all()
 
 
+def test_runs_out_of_place_tell_lines_apart():
+    """Never where the edits are few enough, whatever they are; and of the same words in another order always."""
+    rnd = random.Random(3)
+    codes = lambda t: np.frombuffer(t.encode("utf-32-le"), np.uint32)
+    for _ in range(60):
+        one = "".join(rnd.choice("abcż ") for _ in range(rnd.randint(3, 160)))
+        two = _edited(rnd, one, rnd.randint(0, 40))
+        if rnd.random() < 0.3:
+            two = two[len(two) // 3 :] + two[: len(two) // 3]
+        most = _distance(one, two) + rnd.choice([0, 0, 3])
+        assert not lines._out_of_place(codes(one), codes(two), most) and not lines._out_of_place(codes(two), codes(one), most)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    words = [word() for _ in range(120)]
+    one, two = " ".join(words), " ".join(words[60:] + words[:60])
+    assert lines._out_of_place(codes(one), codes(two), 84) and not lines.near(one, two, 0.9)
+
+
 def test_lines_that_may_link_share_a_part():
     """Of the packed keys, every line stays that may link with another one of its key, and few others do."""
     rng = np.random.default_rng(5)
